@@ -28,13 +28,13 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_n
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     )
     # One row per partition, so the window below is over a handful of rows.
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
         local.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos") + F.lit(start))
-        .drop("_mid", "_part", "_pos", "_offset", "_n")
+        .drop("_mid", "_part", "_pos", "_offset")
     )
 
 

@@ -79,7 +79,7 @@ def _(spark, sf):
 
 
 @query("p10_within_token_limit", """SELECT id, n_tokens FROM (SELECT id,
-    len(list_filter(string_split_regex(abstract,'\\s+'), x -> x<>'')) AS n_tokens FROM papers) WHERE n_tokens<=500""")
+    len(list_filter(string_split_regex(abstract,'\\s+'), lambda x: x<>'')) AS n_tokens FROM papers) WHERE n_tokens<=500""")
 def _(spark, sf):
     p = v.papers(spark, sf).select("id", tx.count_tokens("abstract").cast("long").alias("n_tokens"))
     return p.where("n_tokens <= 500")
