@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later stages never recompute it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder, so that later stages never recompute it.
+
+    A written table rather than ``checkpoint()``: inside loops the latter carries the constraints of
+    the old plan along, and they multiply with every join. Reading back also gives true sizes, so the
+    planner knows which sides are small.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
