@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarium.plans import aggregates, functions, relational, stores, streams  # noqa: F401
+from scholarium.plans import aggregates, functions, relational, stores, streams, vectors  # noqa: F401
 from scholarium.plans.registry import ORACLES, QUERIES, Query
 
 
