@@ -140,8 +140,7 @@ def fixed_decimals(c: Column | str, digits: int = 2, missing: str = "N/A") -> Co
 
 def count_tokens(c: Column | str) -> Column:
     """Default token counter: runs of non-blank characters."""
-    text = F.trim(F.regexp_replace(_col(c), "\\s+", " "))
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
+    return F.regexp_count(_col(c), F.lit("\\S+"))
 
 
 def embedding_text(category: Column | str, title: Column | str, abstract: Column | str, prefix: bool = True) -> Column:
@@ -156,9 +155,16 @@ def cluster_display(label: Column | str, cluster_id: Column | str) -> Column:
     return F.coalesce(empty_to_null(label), F.concat(F.lit("Cluster "), _col(cluster_id).cast("string")))
 
 
+# A letter run with hyphens, from word border to word border. Borders are spelled out: asking the regex
+# engine for Unicode borders is several times slower.
+WORD = (
+    "((?<![\\p{L}\\p{N}_])[a-z][a-z-]*(?:[a-z](?![\\p{L}\\p{N}_])|-(?=[\\p{L}\\p{N}_])))"
+)
+
+
 def words(c: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-case words of letters and hyphens, stop words removed, in text order."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("(?U)(\\b[a-z][a-z-]+\\b)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(WORD), F.lit(1))
     if not stop_words:
         return found
     return F.filter(found, lambda w: ~w.isin(list(stop_words)))
@@ -166,15 +172,16 @@ def words(c: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 
 def words_and_pairs(tokens: Column) -> Column:
     """The tokens followed by every pair of neighbours."""
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
-            F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, pairs)
+
+    def extended(t: Column) -> Column:
+        rest = F.greatest(F.size(t) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.concat(t, pairs)
+
+    # Wrapping binds the token list to a variable: it is computed once per row.
+    return F.flatten(F.transform(F.array(tokens), extended))
 
 
 def vector_bytes(c: Column | str) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarium.functions.vectors import as_double
+from scholarium.operators.vectors import dimension_stats
 from scholarium.session import cut_lineage, scratch_path
 
 MAX_PIVOTS = 1024
@@ -42,6 +43,8 @@ class Layout:
     first_block: np.ndarray
     label_lo: np.ndarray
     label_hi: np.ndarray
+    group_lo: np.ndarray
+    group_hi: np.ndarray
     core_lo: np.ndarray
     core_hi: np.ndarray
     line_of: dict[tuple[int, int], int]
@@ -73,10 +76,16 @@ def pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def annulus_bounds(layout: Layout, to_pivot: np.ndarray) -> np.ndarray:
+    """How near a point of each ring can be to each query, from the ring's distances to its pivot."""
+    d = to_pivot[:, layout.cell]
+    return np.maximum(np.maximum(d - layout.hi[None, :], layout.lo[None, :] - d), 0.0)
+
+
 def lower_bounds(layout: Layout, to_pivot: np.ndarray, own_cell: int) -> np.ndarray:
-    """How near a point of each ring can be to each query: annulus and bisecting-plane bounds."""
+    """The annulus bound, sharpened by the plane that halves the way between two pivots."""
     d = to_pivot[:, layout.cell]
-    lb = np.maximum(np.maximum(d - layout.hi[None, :], layout.lo[None, :] - d), 0.0)
+    lb = annulus_bounds(layout, to_pivot)
     between = pairwise(layout.pivots[[own_cell]], layout.pivots)[0][layout.cell]
     own = to_pivot[:, [own_cell]]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -108,18 +117,21 @@ def _rows_schema(df: DataFrame, extra: str) -> str:
 class BlockIndex:
     """Points laid out in blocks, ready for block-wise searches.
 
-    ``points`` has (id long, v array<double>, members array<long>, label long, core double); labels and
-    cores that do not matter are 0.
+    ``points`` has (id long, v array<double>, members array<long>, label long, core double) and perhaps
+    (grp long); labels, cores and groups that do not matter are 0. With ``by_label`` every label is a
+    cell around its own centroid, instead of cells around sampled pivots.
     """
 
-    def __init__(self, points: DataFrame, metric: str, block_rows: int = 4096):
+    def __init__(self, points: DataFrame, metric: str, block_rows: int = 4096, by_label: bool = False):
         if metric not in ("cosine", "euclidean"):
             raise ValueError(f"unknown metric {metric}")
         self.spark = points.sparkSession
         self.metric = metric
         self.block_rows = block_rows
         path = scratch_path(self.spark, "points")
-        points.select("id", "v", "members", "label", "core").write.parquet(path)
+        grouped = points if "grp" in points.columns else points.withColumn("grp", F.lit(0).cast("long"))
+        self.by_label = by_label
+        grouped.select("id", "v", "members", "label", "core", "grp").write.parquet(path)
         raw = self.spark.read.parquet(path)
         self.n = raw.count()
         self.points, self.layout = self._lay_out(raw)
@@ -128,7 +140,14 @@ class BlockIndex:
         if self.n == 0:
             return raw, None
         n_pivots = int(min(MAX_PIVOTS, max(1, self.n // self.block_rows)))
-        chosen = raw.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
+        by_label = self.by_label
+        if by_label:
+            # One centroid per cluster, as many as the answer has rows.
+            chosen = dimension_stats(raw, "v", by=["label"]).select("label", F.col("mean").alias("v")).orderBy("label").toPandas()
+            names = chosen["label"].to_numpy()
+        else:
+            chosen = raw.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
+            names = np.arange(len(chosen))
         unit = self.metric == "cosine"
 
         def ready(vs: pd.Series) -> np.ndarray:
@@ -149,8 +168,10 @@ class BlockIndex:
                 if not len(pdf):
                     continue
                 x = ready(pdf["v"])
-                d = pairwise(x, shared.value)
-                cell = d.argmin(1)
+                if by_label:
+                    cell = np.searchsorted(names, pdf["label"].to_numpy())
+                else:
+                    cell = pairwise(x, shared.value).argmin(1)
                 near = np.sqrt(((x - shared.value[cell]) ** 2).sum(1))
                 yield pdf.assign(v=list(x), cell=cell.astype(np.int64), dp=near)
 
@@ -178,11 +199,12 @@ class BlockIndex:
             return pd.Series(out)
 
         lines = (
-            placed.select("cell", "dp", "label", "core", ring_of("cell", "dp").alias("ring"))
+            placed.select("cell", "dp", "label", "core", "grp", ring_of("cell", "dp").alias("ring"))
             .groupBy("cell", "ring")
             .agg(
                 F.min("dp").alias("lo"), F.max("dp").alias("hi"), F.count("*").alias("n"),
                 F.min("label").alias("label_lo"), F.max("label").alias("label_hi"),
+                F.min("grp").alias("group_lo"), F.max("grp").alias("group_hi"),
                 F.min("core").alias("core_lo"), F.max("core").alias("core_hi"),
             )
             .toPandas()
@@ -201,6 +223,8 @@ class BlockIndex:
             first_block=np.concatenate([[0], np.cumsum(splits)[:-1]]),
             label_lo=lines["label_lo"].to_numpy(),
             label_hi=lines["label_hi"].to_numpy(),
+            group_lo=lines["group_lo"].to_numpy(),
+            group_hi=lines["group_hi"].to_numpy(),
             core_lo=lines["core_lo"].to_numpy(dtype=float),
             core_hi=lines["core_hi"].to_numpy(dtype=float),
             line_of={(int(c), int(r)): i for i, (c, r) in enumerate(zip(lines["cell"], lines["ring"]))},
@@ -218,10 +242,10 @@ class BlockIndex:
 
     # -- searches ---------------------------------------------------------------------------------
 
-    def nearest(self, k: int, foreign: bool = False, reach: bool = False) -> DataFrame:
+    def nearest(self, k: int, foreign: bool = False, reach: bool = False, within: bool = False) -> DataFrame:
         """The ``k`` best partners per point as (src, dst, distance, key), a point itself included.
 
-        ``foreign`` admits only partners of another label. ``reach`` measures mutual reachability
+        ``foreign`` admits only partners of another label, ``within`` only those of the same group. ``reach`` measures mutual reachability
         (the largest of the distance and both core distances). Partners are ordered by the rounded
         distance ``key``, then id; every stored member of a folded point is a partner.
         """
@@ -231,19 +255,19 @@ class BlockIndex:
         shared = self.spark.sparkContext.broadcast(self.layout)
         metric = self.metric
         blocks = self.blocks()
-        own_schema = "src long, block long, v array<double>, label long, core double, bound double, lines array<long>, dst array<long>, distance array<double>, key array<double>"
+        own_schema = "src long, block long, v array<double>, label long, core double, grp long, bound double, lines array<long>, dst array<long>, distance array<double>, key array<double>"
 
         def search_own(pdf: pd.DataFrame) -> pd.DataFrame:
             layout = shared.value
-            found = best_partners(pdf, pdf, k, metric, foreign, reach)
+            found = best_partners(pdf, pdf, k, metric, foreign, reach, within)
             x = np.stack(pdf["v"].to_numpy())
             own_cell = int(pdf["cell"].iloc[0])
-            labels, cores = pdf["label"].to_numpy(), pdf["core"].to_numpy()
+            labels, cores, groups = pdf["label"].to_numpy(), pdf["core"].to_numpy(), pdf["grp"].to_numpy()
             bounds, targets = [], []
             for s in range(0, len(pdf), CHUNK):
                 part = slice(s, s + CHUNK)
                 to_pivot = pairwise(x[part], layout.pivots)
-                bound = reach_bounds(layout, to_pivot, labels[part], cores[part], k, foreign, reach)
+                bound = reach_bounds(layout, to_pivot, labels[part], cores[part], groups[part] if within else None, k, foreign, reach)
                 local = np.array([
                     from_value(f[1][-1], metric) if len(f[1]) >= k else np.inf for f in found[s : s + CHUNK]
                 ])
@@ -255,6 +279,9 @@ class BlockIndex:
                 if foreign:
                     same = (layout.label_lo == layout.label_hi)[None, :] & (layout.label_lo[None, :] == labels[part][:, None])
                     open_lines &= ~same
+                if within:
+                    g = groups[part][:, None]
+                    open_lines &= (layout.group_lo[None, :] <= g) & (g <= layout.group_hi[None, :])
                 bounds.append(bound)
                 targets.extend(np.flatnonzero(row) for row in open_lines)
             return pd.DataFrame({
@@ -263,6 +290,7 @@ class BlockIndex:
                 "v": list(x),
                 "label": labels,
                 "core": cores,
+                "grp": groups,
                 "bound": np.concatenate(bounds),
                 "lines": targets,
                 "dst": [f[0] for f in found],
@@ -281,28 +309,24 @@ class BlockIndex:
         own = first.select("src", F.explode(F.arrays_zip("dst", "distance", "key")).alias("p")).select(
             "src", "p.dst", "p.distance", "p.key"
         )
-        lines = self.spark.createDataFrame(
-            pd.DataFrame({"line": np.arange(len(self.layout.cell)), "first": self.layout.first_block, "splits": self.layout.splits}),
-            "line long, first long, splits long",
-        )
-        # The line table is bounded by the layout, see Layout.
+        lines = self._line_table()
         routed = (
-            first.select("src", "block", "v", "label", "core", "bound", F.explode("lines").alias("line"))
+            first.select("src", "block", "v", "label", "core", "grp", "bound", F.explode("lines").alias("line"))
             .join(F.broadcast(lines), "line")
             .withColumn("target", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)))
             .where(F.col("target") != F.col("block"))
-            .select("target", F.col("block").alias("origin"), F.col("src").alias("id"), "v", "label", "core", "bound")
+            .select("target", F.col("block").alias("origin"), F.col("src").alias("id"), "v", "label", "core", "grp", "bound")
         )
         # Other column names than the queries have: both sides come from the same table.
         meetings = routed.select(F.col("target").alias("block"), F.col("origin").alias("asker")).distinct()
-        data = meetings.join(blocks.select("block", "id", "v", "members", "label", "core"), "block").select(
-            F.col("block").alias("at_block"), F.col("asker").alias("for_block"), "id", "v", "members", "label", "core"
+        data = meetings.join(blocks.select("block", "id", "v", "members", "label", "core", "grp"), "block").select(
+            F.col("block").alias("at_block"), F.col("asker").alias("for_block"), "id", "v", "members", "label", "core", "grp"
         )
 
         def search_other(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(p):
                 return pd.DataFrame({"src": [], "dst": [], "distance": [], "key": []})
-            found = best_partners(q, p, k, metric, foreign, reach)
+            found = best_partners(q, p, k, metric, foreign, reach, within)
             limit = q["bound"].to_numpy()
             out = []
             for i, (dst, dist, key) in zip(q["id"], found):
@@ -324,6 +348,138 @@ class BlockIndex:
             .drop("r")
         )
 
+    def _line_table(self) -> DataFrame:
+        """Ring lines as a table; bounded, see Layout."""
+        lay = self.layout
+        pdf = pd.DataFrame({"line": np.arange(len(lay.cell)), "first": lay.first_block, "splits": lay.splits})
+        return self.spark.createDataFrame(pdf, "line long, first long, splits long")
+
+    def label_separations(self) -> DataFrame:
+        """Smallest mutual reachability between every two labels (left_id < right_id); needs ``by_label``.
+
+        A block of one label knows, for every other label, a distance that its best partner cannot
+        exceed: by way of the point nearest to the other centroid. Only points and rings that can stay
+        below it are compared, and a meeting of two blocks yields a single number.
+        """
+        if not self.by_label:
+            raise ValueError("lay the index out by label")
+        schema = "left_id long, right_id long, separation double"
+        if self.layout is None:
+            return self.spark.createDataFrame([], schema)
+        shared = self.spark.sparkContext.broadcast(self.layout)
+
+        def route(pdf: pd.DataFrame) -> pd.DataFrame:
+            layout = shared.value
+            x, core = np.stack(pdf["v"].to_numpy()), pdf["core"].to_numpy()
+            mine = int(pdf["label"].iloc[0])
+            to_pivot = pairwise(x, layout.pivots)
+            lb = np.maximum(annulus_bounds(layout, to_pivot), np.maximum(core[:, None], layout.core_lo[None, :])) - 1e-7
+            ub = to_pivot[:, layout.cell] + layout.lo[None, :] + 1e-6
+            ub = np.maximum(ub, np.maximum(core[:, None], layout.core_hi[None, :])).min(axis=0)
+            best = np.full(len(layout.pivots), np.inf)
+            np.minimum.at(best, layout.cell, ub)
+            lines = np.flatnonzero(layout.label_lo > mine)
+            at, which = np.nonzero(lb[:, lines] <= best[layout.cell[lines]][None, :])
+            return pd.DataFrame({
+                "id": pdf["id"].to_numpy()[at], "origin": pdf["block"].to_numpy()[at], "label": mine,
+                "v": pd.Series([x[i] for i in at], dtype=object), "core": core[at], "line": lines[which],
+            })
+
+        blocks = self.blocks()
+        routed = cut_lineage(
+            blocks.groupBy("block")
+            .applyInPandas(route, "id long, origin long, label long, v array<double>, core double, line long")
+            .join(F.broadcast(self._line_table()), "line")
+            .withColumn("target", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)))
+            .select("target", "origin", "label", "v", "core")
+        )
+        meetings = routed.select(F.col("target").alias("block"), F.col("origin").alias("asker")).distinct()
+        data = meetings.join(blocks.select("block", "v", "core", "label"), "block").select(
+            F.col("block").alias("at_block"), F.col("asker").alias("for_block"), F.col("v").alias("pv"),
+            F.col("core").alias("pcore"), F.col("label").alias("plabel"),
+        )
+
+        def closest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(p):
+                return pd.DataFrame({"left_id": [], "right_id": [], "separation": []})
+            x, y = np.stack(q["v"].to_numpy()), np.stack(p["pv"].to_numpy())
+            cq, cp = q["core"].to_numpy(), p["pcore"].to_numpy()
+            best = np.inf
+            for s in range(0, len(x), CHUNK):
+                d = np.maximum(pairwise(x[s : s + CHUNK], y), np.maximum(cq[s : s + CHUNK, None], cp[None, :]))
+                best = min(best, float(d.min()))
+            return pd.DataFrame({"left_id": q["label"].iloc[:1], "right_id": int(p["plabel"].iloc[0]), "separation": best})
+
+        met = (
+            routed.groupBy("target", "origin").cogroup(data.groupBy("at_block", "for_block")).applyInPandas(closest, schema)
+        )
+        return met.groupBy("left_id", "right_id").agg(F.round(F.min("separation"), ROUNDING).alias("separation"))
+
+    def ranks(self, pairs: DataFrame) -> DataFrame:
+        """Rank of ``dst`` among all other points as seen from ``src``: (src, dst, far_rank), ties by id.
+
+        Rings that lie wholly nearer than ``dst`` are counted from their line, rings wholly farther are
+        left out, and only the rings in between are measured. For points that are not folded.
+        """
+        if self.metric != "euclidean":
+            raise ValueError("ranks are Euclidean")
+        shared = self.spark.sparkContext.broadcast(self.layout)
+        a = self.points.select(F.col("id").alias("src"), F.col("v").alias("sv"), "cell", "dp")
+        b = self.points.select(F.col("id").alias("dst"), F.col("v").alias("dv"))
+        asked = pairs.select("src", "dst").join(a, "src").join(b, "dst")
+        schema = "src long, dst long, sv array<double>, d double, base long, lines array<long>"
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            layout = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, y = np.stack(pdf["sv"].to_numpy()), np.stack(pdf["dv"].to_numpy())
+                d = np.round(np.sqrt(((x - y) ** 2).sum(1)), ROUNDING)
+                to_pivot = pairwise(x, layout.pivots)
+                slack = 1e-5
+                whole = to_pivot[:, layout.cell] + layout.hi[None, :] + slack < d[:, None]
+                none = annulus_bounds(layout, to_pivot) - slack > d[:, None]
+                own = layout.line(pdf["cell"].to_numpy(), pdf["dp"].to_numpy())
+                base = (whole * layout.rows[None, :]).sum(1) - whole[np.arange(len(x)), own]
+                yield pd.DataFrame({
+                    "src": pdf["src"], "dst": pdf["dst"], "sv": list(x), "d": d, "base": base,
+                    "lines": [np.flatnonzero(r) for r in ~(whole | none)],
+                })
+
+        split_up = cut_lineage(asked.mapInPandas(split, schema))
+        n_chunks = max(1, -(-split_up.count() // self.block_rows))
+        routed = (
+            split_up.withColumn("line", F.explode("lines"))
+            .join(F.broadcast(self._line_table()), "line")
+            .withColumn("target", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)))
+            .withColumn("chunk", F.pmod(F.xxhash64("src", "dst"), F.lit(n_chunks)))
+            .select("target", "chunk", "src", "dst", "sv", "d")
+        )
+        meetings = routed.select(F.col("target").alias("block"), F.col("chunk").alias("c")).distinct()
+        data = meetings.join(self.blocks().select("block", "id", "v"), "block").select(
+            F.col("block").alias("at_block"), F.col("c").alias("for_chunk"), "id", "v"
+        )
+
+        def count_nearer(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"src": [], "dst": [], "nearer": []})
+            sv, pv = np.stack(x["sv"].to_numpy()), np.stack(y["v"].to_numpy())
+            ids, src, dst, d = (c.to_numpy() for c in (y["id"], x["src"], x["dst"], x["d"]))
+            out = np.zeros(len(x), dtype=np.int64)
+            for s in range(0, len(x), CHUNK):
+                e = slice(s, s + CHUNK)
+                key = np.round(pairwise(sv[e], pv), ROUNDING)
+                first = (key < d[e, None]) | ((key == d[e, None]) & (ids[None, :] < dst[e, None]))
+                out[e] = (first & (ids[None, :] != src[e, None])).sum(1)
+            return pd.DataFrame({"src": src, "dst": dst, "nearer": out})
+
+        counted = routed.groupBy("target", "chunk").cogroup(data.groupBy("at_block", "for_chunk")).applyInPandas(
+            count_nearer, "src long, dst long, nearer long"
+        )
+        every = counted.unionByName(split_up.select("src", "dst", F.col("base").alias("nearer")))
+        return every.groupBy("src", "dst").agg((F.sum("nearer") + 1).alias("far_rank"))
+
 
 def from_value(d: np.ndarray | float, metric: str):
     """Distance value to the Euclidean radius that surely contains everything that rounds to it."""
@@ -332,7 +488,8 @@ def from_value(d: np.ndarray | float, metric: str):
 
 
 def reach_bounds(
-    layout: Layout, to_pivot: np.ndarray, labels: np.ndarray, cores: np.ndarray, k: int, foreign: bool, reach: bool
+    layout: Layout, to_pivot: np.ndarray, labels: np.ndarray, cores: np.ndarray, groups: np.ndarray | None, k: int,
+    foreign: bool, reach: bool,
 ) -> np.ndarray:
     """Radius within which every query surely has ``k`` partners, from the ring table alone."""
     ub = to_pivot[:, layout.cell] + layout.hi[None, :]
@@ -343,6 +500,9 @@ def reach_bounds(
         sure = np.where(single[None, :], np.where(layout.label_lo[None, :] != labels[:, None], layout.rows[None, :], 0), 1)
     else:
         sure = np.broadcast_to(layout.rows[None, :], ub.shape)
+    if groups is not None:
+        pure = (layout.group_lo == layout.group_hi)[None, :] & (layout.group_lo[None, :] == groups[:, None])
+        sure = np.where(pure, sure, 0)
     order = np.argsort(ub, axis=1)
     reached = np.take_along_axis(sure, order, axis=1).cumsum(axis=1) >= k
     at = reached.argmax(axis=1)
@@ -351,7 +511,7 @@ def reach_bounds(
 
 
 def best_partners(
-    q: pd.DataFrame, p: pd.DataFrame, k: int, metric: str, foreign: bool, reach: bool
+    q: pd.DataFrame, p: pd.DataFrame, k: int, metric: str, foreign: bool, reach: bool, within: bool
 ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query of ``q`` the best ``k`` member ids of ``p`` with distance and rounded key.
 
@@ -360,6 +520,7 @@ def best_partners(
     x, y = np.stack(q["v"].to_numpy()), np.stack(p["v"].to_numpy())
     core_q, core_p = q["core"].to_numpy(), p["core"].to_numpy()
     lab_q, lab_p = q["label"].to_numpy(), p["label"].to_numpy()
+    grp_q, grp_p = q["grp"].to_numpy(), p["grp"].to_numpy()
     members = p["members"].to_numpy()
     plain = all(len(m) == 1 for m in members)
     ids = np.array([m[0] for m in members], dtype=np.int64)
@@ -372,6 +533,8 @@ def best_partners(
             d = np.maximum(d, np.maximum(core_q[s : s + CHUNK, None], core_p[None, :]))
         if foreign:
             d[lab_q[s : s + CHUNK, None] == lab_p[None, :]] = np.inf
+        if within:
+            d[grp_q[s : s + CHUNK, None] != grp_p[None, :]] = np.inf
         kth = min(k, d.shape[1]) - 1
         cut = np.partition(d, kth, axis=1)[:, kth]
         if metric == "cosine":

@@ -373,3 +373,23 @@ def _(spark, sf):
         F.count("*").cast("double").alias("validity_index")
     )
     return tb.upsert(stored, fresh, ["trial_id", "cluster_id"])
+
+
+def _validity(spark, sf):
+    m = _members(spark, sf).select(F.col("paper_id").alias("id"), "cluster_id", "embedding")
+    return de.density_validity(m, 5)
+
+
+@query("v10_density_validity")
+def _(spark, sf):
+    return _validity(spark, sf)[0]
+
+
+@query("v10_pair_separations")
+def _(spark, sf):
+    return _validity(spark, sf)[1]
+
+
+@query("a26_separation_overview")
+def _(spark, sf):
+    return de.validity_overview(*_validity(spark, sf))
