@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarium.functions.vectors import as_double
+from scholarium.functions.vectors import as_double, euclidean
 from scholarium.operators.vectors import dimension_stats
 from scholarium.session import cut_lineage, scratch_path
 
@@ -125,6 +125,8 @@ class BlockIndex:
     def __init__(self, points: DataFrame, metric: str, block_rows: int = 4096, by_label: bool = False):
         if metric not in ("cosine", "euclidean"):
             raise ValueError(f"unknown metric {metric}")
+        if by_label and metric != "euclidean":
+            raise ValueError("label cells are Euclidean")
         self.spark = points.sparkSession
         self.metric = metric
         self.block_rows = block_rows
@@ -141,13 +143,6 @@ class BlockIndex:
             return raw, None
         n_pivots = int(min(MAX_PIVOTS, max(1, self.n // self.block_rows)))
         by_label = self.by_label
-        if by_label:
-            # One centroid per cluster, as many as the answer has rows.
-            chosen = dimension_stats(raw, "v", by=["label"]).select("label", F.col("mean").alias("v")).orderBy("label").toPandas()
-            names = chosen["label"].to_numpy()
-        else:
-            chosen = raw.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
-            names = np.arange(len(chosen))
         unit = self.metric == "cosine"
 
         def ready(vs: pd.Series) -> np.ndarray:
@@ -160,23 +155,35 @@ class BlockIndex:
                 x = np.hstack([x, zero.astype(float)[:, None]])
             return x
 
-        pivots = ready(chosen["v"])
-        shared = self.spark.sparkContext.broadcast(pivots)
+        if by_label:
+            # Centroids stay in a table: there may be many labels.
+            self.centroids = cut_lineage(
+                dimension_stats(raw, "v", by=["label"]).select("label", F.col("mean").alias("centre"))
+            )
+            order = Window.partitionBy(F.lit(0)).orderBy("label")
+            cells_of = self.centroids.select("label", "centre", (F.row_number().over(order) - 1).cast("long").alias("cell"))
+            pivots = np.zeros((0, 0))
+            assigned = raw.join(cells_of, "label").withColumn("dp", euclidean(F.col("v"), F.col("centre"))).select(
+                *raw.columns, "cell", "dp"
+            )
+        else:
+            chosen = raw.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
+            pivots = ready(chosen["v"])
+            shared = self.spark.sparkContext.broadcast(pivots)
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x = ready(pdf["v"])
-                if by_label:
-                    cell = np.searchsorted(names, pdf["label"].to_numpy())
-                else:
-                    cell = pairwise(x, shared.value).argmin(1)
+                cell = pairwise(x, shared.value).argmin(1)
                 near = np.sqrt(((x - shared.value[cell]) ** 2).sum(1))
                 yield pdf.assign(v=list(x), cell=cell.astype(np.int64), dp=near)
 
         path = scratch_path(self.spark, "cells")
-        raw.mapInPandas(assign, _rows_schema(raw, ", cell long, dp double")).write.parquet(path)
+        if not by_label:
+            assigned = raw.mapInPandas(assign, _rows_schema(raw, ", cell long, dp double"))
+        assigned.write.parquet(path)
         placed = self.spark.read.parquet(path)
         steps = [i / MAX_RINGS for i in range(1, MAX_RINGS)]
         cells = placed.groupBy("cell").agg(
@@ -354,32 +361,48 @@ class BlockIndex:
         pdf = pd.DataFrame({"line": np.arange(len(lay.cell)), "first": lay.first_block, "splits": lay.splits})
         return self.spark.createDataFrame(pdf, "line long, first long, splits long")
 
-    def label_separations(self) -> DataFrame:
+    def label_separations(self, shared_bytes: int = 1 << 26) -> DataFrame:
         """Smallest mutual reachability between every two labels (left_id < right_id); needs ``by_label``.
 
         A block of one label knows, for every other label, a distance that its best partner cannot
         exceed: by way of the point nearest to the other centroid. Only points and rings that can stay
-        below it are compared, and a meeting of two blocks yields a single number.
+        below it are compared, and a meeting of two blocks yields a single number. The centroids are
+        handed to the tasks in portions of at most ``shared_bytes``.
         """
         if not self.by_label:
             raise ValueError("lay the index out by label")
         schema = "left_id long, right_id long, separation double"
         if self.layout is None:
             return self.spark.createDataFrame([], schema)
-        shared = self.spark.sparkContext.broadcast(self.layout)
+        labels = np.unique(self.layout.label_lo)
+        dim = len(self.centroids.first()["centre"])
+        portion = max(1, shared_bytes // (8 * dim))
+        out: DataFrame | None = None
+        for s in range(0, len(labels), portion):
+            found = self._separations_from(labels[s], labels[min(s + portion, len(labels)) - 1], schema)
+            out = found if out is None else out.unionByName(found)
+        return out.groupBy("left_id", "right_id").agg(F.round(F.min("separation"), ROUNDING).alias("separation"))
+
+    def _separations_from(self, first: int, last: int, schema: str) -> DataFrame:
+        """Block-wise minima against the labels from ``first`` to ``last``."""
+        lay = self.layout
+        chosen = self.centroids.where(F.col("label").between(int(first), int(last))).orderBy("label").toPandas()
+        centres = np.stack(chosen["centre"].to_numpy())
+        lines = np.flatnonzero((lay.label_lo >= first) & (lay.label_lo <= last))
+        at_centre = np.searchsorted(chosen["label"].to_numpy(), lay.label_lo[lines])
+        ring = (centres, lines, at_centre, lay.lo[lines], lay.hi[lines], lay.core_lo[lines], lay.core_hi[lines], lay.label_lo[lines])
+        shared = self.spark.sparkContext.broadcast(ring)
 
         def route(pdf: pd.DataFrame) -> pd.DataFrame:
-            layout = shared.value
+            centres, lines, at_centre, lo, hi, core_lo, core_hi, label = shared.value
             x, core = np.stack(pdf["v"].to_numpy()), pdf["core"].to_numpy()
             mine = int(pdf["label"].iloc[0])
-            to_pivot = pairwise(x, layout.pivots)
-            lb = np.maximum(annulus_bounds(layout, to_pivot), np.maximum(core[:, None], layout.core_lo[None, :])) - 1e-7
-            ub = to_pivot[:, layout.cell] + layout.lo[None, :] + 1e-6
-            ub = np.maximum(ub, np.maximum(core[:, None], layout.core_hi[None, :])).min(axis=0)
-            best = np.full(len(layout.pivots), np.inf)
-            np.minimum.at(best, layout.cell, ub)
-            lines = np.flatnonzero(layout.label_lo > mine)
-            at, which = np.nonzero(lb[:, lines] <= best[layout.cell[lines]][None, :])
+            d = pairwise(x, centres)[:, at_centre]
+            lb = np.maximum(np.maximum(d - hi[None, :], lo[None, :] - d), np.maximum(core[:, None], core_lo[None, :])) - 1e-6
+            ub = np.maximum(d + lo[None, :] + 1e-6, np.maximum(core[:, None], core_hi[None, :])).min(axis=0)
+            best = np.full(len(centres), np.inf)
+            np.minimum.at(best, at_centre, ub)
+            at, which = np.nonzero((lb <= best[at_centre][None, :]) & (label > mine)[None, :])
             return pd.DataFrame({
                 "id": pdf["id"].to_numpy()[at], "origin": pdf["block"].to_numpy()[at], "label": mine,
                 "v": pd.Series([x[i] for i in at], dtype=object), "core": core[at], "line": lines[which],
@@ -410,10 +433,7 @@ class BlockIndex:
                 best = min(best, float(d.min()))
             return pd.DataFrame({"left_id": q["label"].iloc[:1], "right_id": int(p["plabel"].iloc[0]), "separation": best})
 
-        met = (
-            routed.groupBy("target", "origin").cogroup(data.groupBy("at_block", "for_block")).applyInPandas(closest, schema)
-        )
-        return met.groupBy("left_id", "right_id").agg(F.round(F.min("separation"), ROUNDING).alias("separation"))
+        return routed.groupBy("target", "origin").cogroup(data.groupBy("at_block", "for_block")).applyInPandas(closest, schema)
 
     def ranks(self, pairs: DataFrame) -> DataFrame:
         """Rank of ``dst`` among all other points as seen from ``src``: (src, dst, far_rank), ties by id.

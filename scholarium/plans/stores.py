@@ -302,7 +302,11 @@ def _(spark, sf):
     UNION ALL SELECT 'tree_edges', (SELECT count(*) FROM cluster_trees) UNION ALL SELECT 'active_authors', (SELECT count(DISTINCT author_id) FROM l WHERE author_id IN (SELECT id FROM authors))
     UNION ALL SELECT 'papers_with_authors', (SELECT count(DISTINCT paper_id) FROM l)""")
 def _(spark, sf):
-    t = _store(spark, sf)
+    # The report describes a store on disk, as it is after the export.
+    path = scratch_path(spark, "filtered-store")
+    tables = _store(spark, sf)
+    store.save_snapshot(tables, path)
+    t = {n: spark.read.schema(df.schema).parquet(f"{path}/{n}") for n, df in tables.items()}
     return qa.store_report(
         t["papers"], t["paper_versions"], t["paper_authors"], t["authors"], t["artifacts"], t["cluster_trees"], 1
     )

@@ -140,7 +140,8 @@ def cluster_trees(spark: SparkSession, sf: str) -> DataFrame:
     per_region = nations.groupBy("n_regionkey").agg(F.sum("n").alias("n"))
     top = table(spark, sf, "region").join(per_region, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(
         F.lit(1).alias("trial_id"),
-        F.lit(0).cast("long").alias("parent_cluster_id"),
+        # Not a literal: a constant key would turn joins on it into nested loops.
+        (F.col("r_regionkey") * 0).cast("long").alias("parent_cluster_id"),
         (F.col("r_regionkey") + 1).cast("long").alias("child_cluster_id"),
         ((F.col("r_regionkey") + 1).cast("double") / 10).alias("lambda_val"),
         F.coalesce("n", F.lit(0)).cast("int").alias("child_size"),
