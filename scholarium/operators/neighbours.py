@@ -76,6 +76,16 @@ def pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
+def slack_of(*parts: np.ndarray) -> float:
+    """How far the fast distance form may be off, given the vectors it was used on."""
+    return 1e-7 * (1.0 + float(np.sqrt(max((p * p).sum(1).max() for p in parts))))
+
+
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances row by row, without cancellation."""
+    return np.sqrt(((x - y) ** 2).sum(1))
+
+
 def annulus_bounds(layout: Layout, to_pivot: np.ndarray) -> np.ndarray:
     """How near a point of each ring can be to each query, from the ring's distances to its pivot."""
     d = to_pivot[:, layout.cell]
@@ -90,7 +100,8 @@ def lower_bounds(layout: Layout, to_pivot: np.ndarray, own_cell: int) -> np.ndar
     own = to_pivot[:, [own_cell]]
     with np.errstate(divide="ignore", invalid="ignore"):
         plane = (d * d - own * own) / (2.0 * between[None, :])
-    plane = np.where(between[None, :] > 0, plane, 0.0)
+    # Pivots that nearly coincide say nothing reliable.
+    plane = np.where(between[None, :] > 1e-3 * (1.0 + to_pivot.max()), plane, 0.0)
     return np.maximum(lb, plane)
 
 
@@ -271,6 +282,7 @@ class BlockIndex:
             own_cell = int(pdf["cell"].iloc[0])
             labels, cores, groups = pdf["label"].to_numpy(), pdf["core"].to_numpy(), pdf["grp"].to_numpy()
             bounds, targets = [], []
+            slack = slack_of(x, layout.pivots)
             for s in range(0, len(pdf), CHUNK):
                 part = slice(s, s + CHUNK)
                 to_pivot = pairwise(x[part], layout.pivots)
@@ -278,8 +290,8 @@ class BlockIndex:
                 local = np.array([
                     from_value(f[1][-1], metric) if len(f[1]) >= k else np.inf for f in found[s : s + CHUNK]
                 ])
-                bound = np.minimum(bound, local)
-                lb = lower_bounds(layout, to_pivot, own_cell) - 1e-7
+                bound = np.minimum(bound + slack, local)
+                lb = lower_bounds(layout, to_pivot, own_cell) - 2 * slack
                 if reach:
                     lb = np.maximum(lb, np.maximum(cores[part][:, None], layout.core_lo[None, :]))
                 open_lines = lb <= bound[:, None]
@@ -398,8 +410,9 @@ class BlockIndex:
             x, core = np.stack(pdf["v"].to_numpy()), pdf["core"].to_numpy()
             mine = int(pdf["label"].iloc[0])
             d = pairwise(x, centres)[:, at_centre]
-            lb = np.maximum(np.maximum(d - hi[None, :], lo[None, :] - d), np.maximum(core[:, None], core_lo[None, :])) - 1e-6
-            ub = np.maximum(d + lo[None, :] + 1e-6, np.maximum(core[:, None], core_hi[None, :])).min(axis=0)
+            slack = 1e-6 + slack_of(x, centres)
+            lb = np.maximum(np.maximum(d - hi[None, :], lo[None, :] - d), np.maximum(core[:, None], core_lo[None, :])) - slack
+            ub = np.maximum(d + lo[None, :] + slack, np.maximum(core[:, None], core_hi[None, :])).min(axis=0)
             best = np.full(len(centres), np.inf)
             np.minimum.at(best, at_centre, ub)
             at, which = np.nonzero((lb <= best[at_centre][None, :]) & (label > mine)[None, :])
@@ -427,10 +440,13 @@ class BlockIndex:
                 return pd.DataFrame({"left_id": [], "right_id": [], "separation": []})
             x, y = np.stack(q["v"].to_numpy()), np.stack(p["pv"].to_numpy())
             cq, cp = q["core"].to_numpy(), p["pcore"].to_numpy()
-            best = np.inf
+            best, slack = np.inf, slack_of(x, y)
             for s in range(0, len(x), CHUNK):
                 d = np.maximum(pairwise(x[s : s + CHUNK], y), np.maximum(cq[s : s + CHUNK, None], cp[None, :]))
-                best = min(best, float(d.min()))
+                i, j = np.nonzero(d <= min(best, float(d.min())) + 2 * slack)
+                if len(i):
+                    i = i + s
+                    best = min(best, float(np.maximum(exact(x[i], y[j]), np.maximum(cq[i], cp[j])).min()))
             return pd.DataFrame({"left_id": q["label"].iloc[:1], "right_id": int(p["plabel"].iloc[0]), "separation": best})
 
         return routed.groupBy("target", "origin").cogroup(data.groupBy("at_block", "for_block")).applyInPandas(closest, schema)
@@ -457,7 +473,7 @@ class BlockIndex:
                 x, y = np.stack(pdf["sv"].to_numpy()), np.stack(pdf["dv"].to_numpy())
                 d = np.round(np.sqrt(((x - y) ** 2).sum(1)), ROUNDING)
                 to_pivot = pairwise(x, layout.pivots)
-                slack = 1e-5
+                slack = 1e-5 + slack_of(x, layout.pivots)
                 whole = to_pivot[:, layout.cell] + layout.hi[None, :] + slack < d[:, None]
                 none = annulus_bounds(layout, to_pivot) - slack > d[:, None]
                 own = layout.line(pdf["cell"].to_numpy(), pdf["dp"].to_numpy())
@@ -486,10 +502,13 @@ class BlockIndex:
                 return pd.DataFrame({"src": [], "dst": [], "nearer": []})
             sv, pv = np.stack(x["sv"].to_numpy()), np.stack(y["v"].to_numpy())
             ids, src, dst, d = (c.to_numpy() for c in (y["id"], x["src"], x["dst"], x["d"]))
-            out = np.zeros(len(x), dtype=np.int64)
+            out, slack = np.zeros(len(x), dtype=np.int64), slack_of(sv, pv)
             for s in range(0, len(x), CHUNK):
                 e = slice(s, s + CHUNK)
-                key = np.round(pairwise(sv[e], pv), ROUNDING)
+                key = pairwise(sv[e], pv)
+                i, j = np.nonzero(np.abs(key - d[e, None]) <= 4 * 10.0**-ROUNDING + slack)
+                key[i, j] = exact(sv[e][i], pv[j])
+                key = np.round(key, ROUNDING)
                 first = (key < d[e, None]) | ((key == d[e, None]) & (ids[None, :] < dst[e, None]))
                 out[e] = (first & (ids[None, :] != src[e, None])).sum(1)
             return pd.DataFrame({"src": src, "dst": dst, "nearer": out})

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarium.session import cut_lineage
 
@@ -16,8 +17,10 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_n
     Rows are range-partitioned and sorted; the position inside a partition comes from the low bits of
     the partition-wise id, and the partition offsets from a window over one row per partition. The
     sorted rows are materialised once, because a second evaluation may choose other range borders.
+    Rows that tie in ``order`` are ordered by a hash of the row, so that a frequent value can be split.
     """
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    order_cols = [*(F.col(c) if isinstance(c, str) else c for c in order), F.xxhash64(*hashed)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(
         df.repartitionByRange(parts, *order_cols)

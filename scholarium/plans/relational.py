@@ -408,7 +408,7 @@ def _(spark, sf):
     return qa.category_frequency(v.papers(spark, sf)).select("category", "n")
 
 
-@query("o02_seeded_order")
+@query("o02_seeded_order", "SELECT id, title FROM papers")
 def _(spark, sf):
     return od.seeded_order(v.papers(spark, sf).select("id", "title"), "id", seed=42)
 

@@ -91,10 +91,12 @@ def _(spark, sf):
     )
 
 
-@query("v03_scaled_knn_graph")
+@query("v03_scaled_knn_graph", f"""WITH s AS (SELECT id, list(value ORDER BY dim) AS e FROM ({SCALED_SQL.replace('round((', '((').replace(',6)+0.0 AS value', ') AS value')}) GROUP BY id)
+    SELECT src, rank, dst, distance FROM (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM
+    (SELECT a.id AS src, b.id AS dst, round(greatest(1-list_cosine_similarity(a.e, b.e),0),6)+0.0 AS distance FROM s a, s b)) WHERE rank<=100""")
 def _(spark, sf):
     s = ve.scale_vectors(v.vectors(spark, sf)).select("id", F.col("scaled_embedding").alias("embedding"))
-    return nb.knn_graph(s, 100, "cosine")
+    return nb.knn_graph(s, 100, "cosine").withColumn("rank", F.col("rank").cast("long"))
 
 
 QUALITY_SQL = f"""WITH g AS ({KNN_SQL.replace('{k}', '20')}), p AS (SELECT src, avg(1-distance) AS m, var_pop(1-distance) AS s2 FROM g GROUP BY src),
@@ -171,16 +173,20 @@ def _(spark, sf):
     return ve.clustering_summary(v.artifacts(spark, sf), 1)
 
 
-@query("v09_trustworthiness")
+RANK_SQL = """SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id
+    ORDER BY round(list_distance(a.embedding[1:{d}]::DOUBLE[], b.embedding[1:{d}]::DOUBLE[]),6), b.vec_id) AS r
+    FROM embeddings a, embeddings b WHERE a.vec_id<>b.vec_id"""
+
+
+@query("v09_trustworthiness", f"""WITH h AS ({RANK_SQL.replace('{d}', '64')}), l AS ({RANK_SQL.replace('{d}', '8')}), n AS (SELECT count(*) AS n FROM embeddings)
+    SELECT round(1-2.0/(n.n*5*(2*n.n-3*5-1))*s.s,6) AS trustworthiness FROM n, (SELECT sum(greatest(h.r-5,0)) AS s FROM l JOIN h USING (src,dst) WHERE l.r<=5) s""")
 def _(spark, sf):
+    # The first eight dimensions stand for a reduction that SQL can repeat.
     e = v.vectors(spark, sf).select("id", "embedding")
-    low = ve.reduce_dims(e, 8, "random_projection").select("id", F.col("reduced").alias("embedding"))
-    return qg.trustworthiness(e, cut_lineage(low), 5)
+    return qg.trustworthiness(e, e.select("id", F.slice("embedding", 1, 8).alias("embedding")), 5)
 
 
-@query("w09_full_neighbour_ranks", """SELECT src, dst, far_rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id
-      ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6), b.vec_id) AS far_rank
-      FROM embeddings a, embeddings b WHERE a.vec_id<>b.vec_id) JOIN tree_edges USING (src, dst)""")
+@query("w09_full_neighbour_ranks", f"""SELECT src, dst, r AS far_rank FROM ({RANK_SQL.replace('{d}', '64')}) JOIN tree_edges USING (src, dst)""")
 def _(spark, sf):
     return qg.full_ranks(v.vectors(spark, sf), v.tree_edges(spark, sf).select("src", "dst"))
 
