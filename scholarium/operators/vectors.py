@@ -49,19 +49,28 @@ def centroids(members: DataFrame, vector: str = "embedding") -> DataFrame:
     return dimension_stats(members, vector, by=["cluster_id"]).select("cluster_id", F.col("mean").alias("centroid"), "n")
 
 
-def representatives(members: DataFrame, n: int = 10, at_least: int = 5, vector: str = "embedding") -> DataFrame:
+def representatives(
+    members: DataFrame, n: int = 10, at_least: int = 5, vector: str = "embedding", salts: int = 32
+) -> DataFrame:
     """The ``n`` members nearest to their cluster's centroid, for clusters with enough members.
 
-    ``members`` has (cluster_id, paper_id, vector). Rows beyond rank ``n`` are dropped before the
-    shuffle too, so the size of a cluster does not matter.
+    ``members`` has (cluster_id, paper_id, vector). A join and a rank by cluster alone would send a
+    large cluster to one task: its members are spread over ``salts`` parts, each part keeps its ``n``
+    best, and the best of those are ranked.
     """
     c = centroids(members, vector).where(F.col("n") >= at_least)
+    copies = c.select("cluster_id", "centroid", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("paper_id"), F.lit(salts)).cast("int"))
     d = F.round(euclidean(as_double(vector), F.col("centroid")), 6)
-    near = members.join(c.select("cluster_id", "centroid"), "cluster_id").select(
-        "cluster_id", "paper_id", d.alias("distance")
-    )
+    near = salted.join(copies, ["cluster_id", "_salt"]).select("cluster_id", "_salt", "paper_id", d.alias("distance"))
+    part = Window.partitionBy("cluster_id", "_salt").orderBy("distance", "paper_id")
+    best = near.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= n)
     w = Window.partitionBy("cluster_id").orderBy("distance", "paper_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (
+        best.select("cluster_id", "paper_id", "distance")
+        .withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= n)
+    )
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

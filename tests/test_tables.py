@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,16 @@ def test_best_trial_ties(spark):
     assert rows(g) == rows(tr.parameter_grid(spark, 50, seed=3).repartition(3))
     lims = g.agg(F.min("min_samples"), F.max("min_samples")).first()
     assert 5 <= lims[0] and lims[1] <= 50
+
+
+def test_representatives_of_a_hot_cluster(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    lab = [0 if i % 3 else 1 + i % 5 for i in range(400)]
+    df = spark.createDataFrame(
+        [(c, i, v.tolist()) for i, (c, v) in enumerate(zip(lab, x))], "cluster_id int, paper_id long, embedding array<double>"
+    )
+    got = [r["paper_id"] for r in ve.representatives(df).where("cluster_id = 0").orderBy("rank").collect()]
+    at = [i for i, c in enumerate(lab) if c == 0]
+    d = (((x[at] - x[at].mean(0)) ** 2).sum(1) ** 0.5).round(6)
+    assert got == [i for _, i in sorted(zip(d, at))[:10]]
