@@ -11,6 +11,7 @@ from scholarium.functions.text import TARGET_CATEGORIES, overlaps_categories
 from scholarium.operators.authors import find_or_create, sighted_authors
 from scholarium.operators.tables import insert_ignore, orphans, related_subset, without_orphans
 from scholarium.operators.versions import apply_version_summary
+from scholarium.session import cut_lineage
 
 STORE_FIELDS = ["title", "abstract", "categories", "msc_class", "acm_class", "doi", "license", "comments"]
 
@@ -28,7 +29,8 @@ def clean_by_category(
     papers: DataFrame, versions: DataFrame, links: DataFrame, authors: DataFrame, wanted: Sequence[str] = TARGET_CATEGORIES
 ) -> dict[str, DataFrame]:
     """All four tables without the condemned papers, their dependants and authors left without a paper."""
-    return related_subset(papers, versions, links, authors, category_keep_set(papers, wanted))
+    keep = cut_lineage(category_keep_set(papers, wanted))
+    return related_subset(papers, versions, links, authors, keep, known=True)
 
 
 def filtered_store(
@@ -36,8 +38,9 @@ def filtered_store(
     trees: DataFrame, trial_id: int,
 ) -> dict[str, DataFrame]:
     """Subset for one trial: active papers with a vector, what hangs on them, and the trial's results."""
-    keep = papers.where(F.col("embedding").isNotNull() & ~F.col("withdrawn")).select("id")
-    out = related_subset(papers, versions, links, authors, keep)
+    # Five tables are cut by these ids.
+    keep = cut_lineage(papers.where(F.col("embedding").isNotNull() & ~F.col("withdrawn")).select("id"))
+    out = related_subset(papers, versions, links, authors, keep, known=True)
     out["artifacts"] = without_orphans(artifacts.where(F.col("trial_id") == trial_id), keep, "paper_id", "id")
     out["cluster_trees"] = trees.where(F.col("trial_id") == trial_id)
     return out

@@ -85,14 +85,18 @@ def members_of(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> D
 
 
 def related_subset(
-    papers: DataFrame, versions: DataFrame, links: DataFrame, authors: DataFrame, keep: DataFrame
+    papers: DataFrame, versions: DataFrame, links: DataFrame, authors: DataFrame, keep: DataFrame, known: bool = False
 ) -> dict[str, DataFrame]:
-    """The four core tables cut down to the papers in ``keep`` (a table with an ``id`` column)."""
+    """The four core tables cut down to the papers in ``keep`` (a table with an ``id`` column).
+
+    ``known`` says that every id in ``keep`` is a paper, which spares the children a second join.
+    """
     kept = without_orphans(papers, keep, "id", "id")
-    kept_links = without_orphans(links, kept, "paper_id", "id")
+    ids = keep if known else kept
+    kept_links = without_orphans(links, ids, "paper_id", "id")
     return {
         "papers": kept,
-        "paper_versions": without_orphans(versions, kept, "paper_id", "id"),
+        "paper_versions": without_orphans(versions, ids, "paper_id", "id"),
         "paper_authors": kept_links,
         "authors": without_orphans(authors, kept_links, "id", "author_id"),
     }
