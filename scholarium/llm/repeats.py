@@ -201,7 +201,7 @@ def _block_rows(open_runs: DataFrame, length: int) -> DataFrame:
 
     The key is the pair of the ranks of the two halves of what all strings of a whole block share.
     """
-    names = [x.split()[0] for x in PIECE.split(", ")] + ["raw"]
+    names = [x.split()[0] for x in PIECE.split(", ")] + ["run"]
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -220,26 +220,29 @@ def _block_rows(open_runs: DataFrame, length: int) -> DataFrame:
                     c1 = ranks.of(lo - s, hi + length - s) + place
                     c2 = ranks.of(lo - s, hi + length - s, 1) ^ place
                     for k in range(len(block)):
-                        rows.append((t1, t2, int(lo[k]), int(hi[k]), m, pair[k], c1[k], c2[k], weight, raw[lo[k] - s : hi[k] + length - s]))
+                        rows.append((t1, t2, int(lo[k]), int(hi[k]), m, pair[k], c1[k], c2[k], weight, s))
                 if rows:
                     t = list(zip(*rows, strict=True))
                     ints = [pa.array(x, pa.int64()) for x in t[:5]]
                     hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in t[5:8]]
-                    yield _batch([*ints, *hashes, pa.array(t[8], pa.int64()), pa.array(t[9], pa.binary())], names)
+                    yield _batch([*ints, *hashes, pa.array(t[8], pa.int64()), pa.array(t[9], pa.int64())], names)
 
-    return open_runs.mapInArrow(run, f"{PIECE}, raw binary")
+    return open_runs.mapInArrow(run, f"{PIECE}, run long")
 
 
-def _position_rows(open_blocks: DataFrame, length: int) -> DataFrame:
+def _position_rows(open_blocks: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
     """Every start of the open blocks, ranked at the full length as the pair of its halves' ranks."""
+    raw_runs = open_runs.select("t1", "t2", F.col("s").alias("run"), "raw")
+    rows = open_blocks.join(raw_runs, ["t1", "t2", "run"]).select("t1", "t2", "run", "s", "e", "weight", "raw")
     names = [x.split()[0] for x in PIECE.split(", ")]
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 parts = []
-                cols = [batch.column(c).to_pylist() for c in ("t1", "t2", "s", "e", "weight", "raw")]
-                for t1, t2, s, e, weight, raw in zip(*cols, strict=True):
+                cols = [batch.column(c).to_pylist() for c in ("t1", "t2", "run", "s", "e", "weight", "raw")]
+                for t1, t2, start, s, e, weight, raw in zip(*cols, strict=True):
+                    raw = raw[s - start : e + length - start]
                     ranks, at = Ranks(np.frombuffer(raw, np.uint8)), np.arange(e - s + 1)
                     half = length // 2
                     ends = [_mix(ranks.of(at, at + half, t)) + ranks.of(at + length - half, at + length, t) for t in (0, 1)]
@@ -249,7 +252,7 @@ def _position_rows(open_blocks: DataFrame, length: int) -> DataFrame:
                 if parts:
                     yield _batch([np.concatenate(x) for x in zip(*parts, strict=True)], names)
 
-    return open_blocks.mapInArrow(run, PIECE)
+    return rows.mapInArrow(run, PIECE)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -257,11 +260,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     seeds = bloom.build(texts.select("text"), bloom.size_for(2 * size // (length - SEED)), twice=True, keys_of=_seed_keys(length))
     whole, rest = _ranked(step(_run_rows(texts, seeds, length)), [])
-    rest = step(rest)
-    blocks = step(_block_rows(_with_bytes(texts, rest, length), length))
-    by_block, left = _ranked(blocks, ["raw"])
-    positions = step(_position_rows(left, length))
-    by_position, _ = _ranked(positions, [])
+    open_runs = step(_with_bytes(texts, step(rest), length))
+    by_block, left = _ranked(step(_block_rows(open_runs, length)), ["run"])
+    by_position, _ = _ranked(step(_position_rows(left, open_runs, length)), [])
     return whole.unionByName(by_block).unionByName(by_position)
 
 
