@@ -2,9 +2,9 @@
 
 A sketch takes the few smallest of a text's five-word shingles under one hash, each shingle labelled by its occurrence,
 and keeps them in the order of the text: it agrees for two texts only if they share those shingles in that
-order, which follows edit similarity more closely than sets do. Texts that share a sketch are candidates. The
-members of such a band are aligned with a leader rather than with each other, in rounds: those that are near it are linked, the
-others elect the next leader, and after two rounds they must share a second sketch to go on.
+order, which follows edit similarity more closely than sets do. Texts that share two sketches close in number are
+candidates. The members of such a band are aligned with a leader rather than with each other, in rounds: those that are near it
+are linked, the others elect the next leader, and after some rounds they must share a further sketch to go on.
 """
 
 from __future__ import annotations
@@ -26,17 +26,20 @@ from scholarium.llm.components import components
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
-#: Shingles in a sketch, sketches. Texts of shingle similarity s share a sketch with probability about s to the power of KEPT.
-KEPT, BANDS = 4, 48
+#: Shingles in a sketch, and sketches. Texts of shingle similarity s agree in a sketch with probability about s to the power of KEPT.
+KEPT, SKETCHES = 3, 48
+#: A band is a sketch and one of the next few.
+STEPS = 8
 #: Rounds before the members of a band that are still open are split by a further sketch.
-ROUNDS = 2
+ROUNDS = 4
 #: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
-CELLS = 1 << 20
+#: Ranks that are computed at once, to stay in the processor's cache.
+CELLS = 1 << 15
 CACHE_WORDS = 1_000_000
 
 _rng = np.random.default_rng(20)
-SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+SEEDS = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +73,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def bands(words: np.ndarray) -> np.ndarray:
+def sketches(words: np.ndarray) -> np.ndarray:
     """The sketches of a text, a number each."""
     h = shingles(words)
     out = np.zeros(len(SEEDS), np.uint64)
@@ -78,7 +81,7 @@ def bands(words: np.ndarray) -> np.ndarray:
     kept = min(KEPT, len(h))
     for a in range(0, len(SEEDS), step_):
         seeds = SEEDS[a : a + step_]
-        rank = _mix(h[None, :] ^ seeds[:, None])
+        rank = h[None, :] * seeds[:, None]
         rows, picks = np.arange(len(seeds)), []
         for _ in range(kept):
             i = rank.argmin(axis=1)
@@ -91,12 +94,18 @@ def bands(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """Numbers of all bands of some texts: texts x sketches x steps, from texts x sketches."""
+    x = sketch.astype(np.int64).view(np.uint64)
+    return np.stack([_mix(_mix(x + np.uint64(j)) + np.roll(x, -j, axis=1)) for j in range(1, STEPS + 1)], axis=2)
+
+
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, row, seq, n, words, bands) of every row; seq names the word sequence."""
+    """(id, row, seq, n, words, sketch) of every row; seq names the word sequence, and a text without words has no sketch."""
     rows = docs.select(column(docs, key).alias("id"), F.monotonically_increasing_id().alias("row"), column(docs, text).alias("text"))
     schema = T.StructType([
         rows.schema["id"], T.StructField("row", T.LongType()), T.StructField("seq", T.BinaryType()), T.StructField("n", T.IntegerType()),
-        T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("words", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType())),
     ])
 
     def run(batches):
@@ -110,7 +119,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                     [batch.column("id"), batch.column("row"),
                      pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in ids], pa.binary()),
                      pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()),
-                     pa.array([bands(x) if len(x) else [] for x in ids], pa.list_(pa.int64()))],
+                     pa.array([sketches(x) if len(x) else None for x in ids], pa.list_(pa.int64()))],
                     names=schema.names,
                 )
 
@@ -152,52 +161,88 @@ def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, d int")
 
 
-def _bands(state: DataFrame) -> DataFrame:
+def _matrix(batch) -> np.ndarray:
+    return batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
+
+
+def _keys(batch) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return band_keys(_matrix(batch)).ravel()
+
+
+def _members(texts: DataFrame) -> DataFrame:
+    """(band, row, n, used) where the band may have another member; a filter of bounded size keeps out the others."""
+    with_sketch = texts.where("sketch IS NOT NULL")
+    size = bloom.size_for(with_sketch.count() * SKETCHES * STEPS)
+    known = bloom.build(with_sketch.select("sketch"), size, twice=True, keys_of=_keys)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                sketch = _matrix(batch)
+                keys = band_keys(sketch)
+                hit = np.flatnonzero(shared.value.has(keys.ravel()))
+                at, i, j = np.unravel_index(hit, keys.shape)
+                used = np.stack([sketch[at, i], sketch[at, (i + j + 1) % SKETCHES]], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()[hit].view(np.int64)), batch.column("row").take(pa.array(at)), batch.column("n").take(pa.array(at)),
+                     pa.array(list(used), pa.list_(pa.int64()))], names=["band", "row", "n", "used"],
+                )
+
+    return with_sketch.select("row", "n", "sketch").mapInArrow(run, "band long, row long, n int, used array<long>")
+
+
+def _going(state: DataFrame) -> DataFrame:
     """The rows of ``state`` in bands with an open member and another one."""
     counted = state.groupBy("band").agg(F.count("*").alias("c"), F.sum(F.col("round").isNull().cast("int")).alias("o"))
-    return step(state.join(counted.where("c > 1 AND o > 0").select("band"), "band"))
+    counted = step(counted.where("c > 1 AND o > 0").select("band"))
+    return step(state.join(counted, "band"))
 
 
 def links(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Links (a, b) that tie together the near texts of ``texts(row, n, bands)``, whose word sequences all differ.
+    """Links (a, b) that tie together the near texts of ``texts(row, n, sketch)``, whose word sequences all differ.
 
     State of a member in a band: open, or settled with some leader at a known distance. Each round the smallest open
     member of every band leads and is aligned with the rest. Settled members near an earlier leader are passed over when the
-    triangle inequality shows that the new leader cannot be near them; otherwise they are aligned too, so no link is lost.
+    triangle inequality shows that no open member can be near them; otherwise they are aligned too, so no link is lost.
     """
     none = F.lit(None).cast("int")
-    state = _bands(texts.select(
-        F.explode("bands").alias("band"), "row", "n", none.alias("round"), none.alias("d"), F.array().cast("array<int>").alias("past")
+    state = _going(_members(texts).select(
+        "band", "row", "n", "used", none.alias("round"), none.alias("d"), F.array().cast("array<int>").alias("past")
     ))
     found, turn = [], 0
     while True:
         leaders = state.where("round IS NULL").groupBy("band").agg(F.min(F.struct("row", "n", "past")).alias("l"))
-        leaders = leaders.select("band", F.col("l.row").alias("a"), F.col("l.n").alias("an"), F.col("l.past").alias("a_past"))
+        leaders = step(leaders.select("band", F.col("l.row").alias("a"), F.col("l.n").alias("an"), F.col("l.past").alias("a_past")))
         met = state.join(leaders, "band").where(F.col("row") != F.col("a"))
         limit = _limit(F.col("n"), F.col("an"))
         # A settled member and the leader both have a distance to the leader under which the member settled.
         gap = F.element_at("a_past", F.col("round") + 1) - F.col("d")
-        met = step(met.where(F.col("round").isNull() | (gap <= limit)).withColumn("limit", limit))
+        met = step(met.where(F.col("round").isNull() | (gap <= limit)).withColumn("limit", limit).drop("a_past"))
         pairs = step(met.where(F.abs(F.col("n") - F.col("an")) <= F.col("limit")).select("a", F.col("row").alias("b")).distinct())
         measured = step(aligned(pairs, words))
         known = met.join(measured.select("a", F.col("b").alias("row"), F.col("d").alias("new")), ["a", "row"], "left")
-        known = step(known.select(
-            "band", "row", "a", "n", "limit", "round", "d", "past", F.coalesce("new", 2 * F.col("limit") + 1).alias("new")
-        ))
+        known = step(known.withColumn("new", F.coalesce("new", 2 * F.col("limit") + 1)))
         near = F.col("new") <= F.col("limit")
         found.append(known.where(near).select("a", F.col("row").alias("b")).distinct())
         moved = known.where(F.col("round").isNull()).select(
-            "band", "row", "n", F.when(near, F.lit(turn)).alias("round"), F.when(near, F.col("new")).alias("d"),
+            "band", "row", "n", "used", F.when(near, F.lit(turn)).alias("round"), F.when(near, F.col("new")).alias("d"),
             F.concat("past", F.array("new")).alias("past"),
         )
-        going = moved.where("round IS NULL").select("band").distinct()
-        state = moved.unionByName(state.where("round IS NOT NULL")).join(going, "band", "left_semi")
+        # Bands with open members go on, with those settled members that one of these may still be near.
+        least = [F.min(F.element_at("past", i + 1)) for i in range(turn + 1)]
+        going = step(moved.where("round IS NULL").groupBy("band").agg(F.array(*least).alias("least")))
+        settled = moved.where("round IS NOT NULL").unionByName(state.where("round IS NOT NULL")).join(going, "band")
+        settled = settled.where(F.element_at("least", F.col("round") + 1) - F.col("d") <= F.floor(F.col("n") * (1 / SIMILARITY - 1)))
+        state = moved.where("round IS NULL").unionByName(settled.drop("least"))
         turn += 1
         if turn % ROUNDS == 0:
-            more = texts.select(F.col("row").alias("r"), F.explode("bands").alias("more"))
-            state = state.join(more, F.col("row") == F.col("r")).where(F.col("band") != F.col("more"))
-            state = state.withColumn("band", F.xxhash64("band", "more")).drop("r", "more")
-        state = _bands(state)
+            more = texts.select(F.col("row").alias("r"), F.explode("sketch").alias("more"))
+            state = state.join(more, F.col("row") == F.col("r")).where(~F.array_contains("used", F.col("more")))
+            state = state.withColumn("band", F.xxhash64("band", "more")).withColumn("used", F.array_append("used", F.col("more")))
+            state = state.drop("r", "more")
+        state = _going(state)
         if state.isEmpty():
             break
     out = found[0]
@@ -215,7 +260,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = step(sketched(docs, key, text))
     firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first")))
-    texts = step(rows.select("row", "n", "bands").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
+    texts = step(rows.select("row", "n", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
     roots = components(links(texts, rows.select("row", "words"))).select(F.col("node").alias("first"), "root")
     named = step(
         rows.select("id", "row", "seq").join(firsts, "seq").join(roots, "first", "left")
