@@ -67,9 +67,10 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max_b
     prints = step(doc.select("id", "f.sha", "f.points", F.monotonically_increasing_id().alias("row")))
     flagged = prints.withColumn("maybe", maybe_repeated(prints, max_bits)("sha"))
     some = flagged.where("maybe").drop("maybe")
-    groups = some.groupBy("sha").agg(
+    # Written, so that the join below meets two plain tables and a large group can be split.
+    groups = step(some.groupBy("sha").agg(
         F.min(_order(F.col("points"), F.col("id"), F.col("row"))).alias("w"), F.count("*").alias("group_size")
-    )
+    ))
     found = some.join(groups, "sha").select(
         "id", F.col("w.c").alias("keep_id"), "group_size", (F.col("row") == F.col("w.row")).alias("kept"), "sha"
     )
