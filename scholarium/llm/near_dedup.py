@@ -3,8 +3,9 @@
 A sketch takes the few smallest of a text's five-word shingles under one hash, each shingle labelled by its occurrence,
 and keeps them in the order of the text: it agrees for two texts only if they share those shingles in that
 order, which follows edit similarity more closely than sets do. Texts that share two sketches close in number are
-candidates. The members of such a band are aligned with a leader rather than with each other, in rounds: those that are near it
-are linked, the others elect the next leader, and after some rounds they must share a further sketch to go on.
+candidates. The members of such a band are aligned with a leader rather than with each other. Where all of a band are linked by
+then it is done; in the others, members of its smallest components lead in turn until every member that is not
+linked with another has been aligned with it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +28,13 @@ from scholarium.llm.components import components
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 #: Shingles in a sketch, and sketches. Texts of shingle similarity s agree in a sketch with probability about s to the power of KEPT.
-KEPT, SKETCHES = 3, 48
+KEPT, SKETCHES = 2, 32
 #: A band is a sketch and one of the next few.
-STEPS = 8
-#: Rounds before the members of a band that are still open are split by a further sketch.
-ROUNDS = 4
+STEPS = 3
+#: Leaders of a band in a round after the first.
+LEADERS = 8
+#: Rounds after which the members of unfinished bands must share a further sketch.
+SPLIT_AFTER = (3, 6)
 #: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 #: Ranks that are computed at once, to stay in the processor's cache.
@@ -47,12 +50,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def word_ids(text: str | None, known: dict[str, int]) -> np.ndarray:
+class Numbers(dict):
+    """Words as numbers, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return n
+
+
+def word_ids(text: str | None, known: Numbers) -> np.ndarray:
     """Lower-case words as numbers; the characters of a text that has no word."""
     words = WORD.findall((text or "").lower()) or "".join((text or "").split())
-    for w in set(words):
-        if w not in known:
-            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
     return np.array([known[w] for w in words], np.uint32)
 
 
@@ -109,7 +117,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     ])
 
     def run(batches):
-        known: dict[str, int] = {}
+        known = Numbers()
         with np.errstate(over="ignore"):
             for batch in batches:
                 if len(known) > CACHE_WORDS:
@@ -143,8 +151,8 @@ def _only(words: DataFrame, pairs: DataFrame) -> DataFrame:
     return words.where(wanted("row"))
 
 
-def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with their edit distance d, or one more than twice the limit where it is larger than that."""
+def near_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of rows, with near: whether their edit similarity reaches the threshold."""
     words = _only(words, pairs)
     left = words.select(F.col("row").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("row").alias("b"), F.col("words").alias("wb"))
@@ -152,13 +160,14 @@ def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            d = []
+            near = []
             for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                d.append(distance(x, y, 2 * int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.int32())], names=["a", "b", "d"])
+                limit = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
+                near.append(distance(x, y, limit) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return both.mapInArrow(run, "a long, b long, d int")
+    return both.mapInArrow(run, "a long, b long, near boolean")
 
 
 def _matrix(batch) -> np.ndarray:
@@ -171,7 +180,7 @@ def _keys(batch) -> np.ndarray:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """(band, row, n, used) where the band may have another member; a filter of bounded size keeps out the others."""
+    """(band, row) where the band may have another member; a filter of bounded size keeps out the others."""
     with_sketch = texts.where("sketch IS NOT NULL")
     size = bloom.size_for(with_sketch.count() * SKETCHES * STEPS)
     known = bloom.build(with_sketch.select("sketch"), size, twice=True, keys_of=_keys)
@@ -180,75 +189,62 @@ def _members(texts: DataFrame) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                sketch = _matrix(batch)
-                keys = band_keys(sketch)
+                keys = band_keys(_matrix(batch)).reshape(batch.num_rows, -1)
                 hit = np.flatnonzero(shared.value.has(keys.ravel()))
-                at, i, j = np.unravel_index(hit, keys.shape)
-                used = np.stack([sketch[at, i], sketch[at, (i + j + 1) % SKETCHES]], axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()[hit].view(np.int64)), batch.column("row").take(pa.array(at)), batch.column("n").take(pa.array(at)),
-                     pa.array(list(used), pa.list_(pa.int64()))], names=["band", "row", "n", "used"],
-                )
-
-    return with_sketch.select("row", "n", "sketch").mapInArrow(run, "band long, row long, n int, used array<long>")
-
-
-def _going(state: DataFrame) -> DataFrame:
-    """The rows of ``state`` in bands with an open member and another one."""
-    counted = state.groupBy("band").agg(F.count("*").alias("c"), F.sum(F.col("round").isNull().cast("int")).alias("o"))
-    counted = step(counted.where("c > 1 AND o > 0").select("band"))
-    return step(state.join(counted, "band"))
-
-
-def links(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Links (a, b) that tie together the near texts of ``texts(row, n, sketch)``, whose word sequences all differ.
-
-    State of a member in a band: open, or settled with some leader at a known distance. Each round the smallest open
-    member of every band leads and is aligned with the rest. Settled members near an earlier leader are passed over when the
-    triangle inequality shows that no open member can be near them; otherwise they are aligned too, so no link is lost.
-    """
-    none = F.lit(None).cast("int")
-    state = _going(_members(texts).select(
-        "band", "row", "n", "used", none.alias("round"), none.alias("d"), F.array().cast("array<int>").alias("past")
-    ))
-    found, turn = [], 0
+                rows = batch.column("row").take(pa.array(hit // keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[hit].view(np.int64)), rows], names=["band", "row"])
+
+    return with_sketch.select("row", "sketch").mapInArrow(run, "band long, row long")
+
+
+def _renamed(state: DataFrame, roots: DataFrame) -> DataFrame:
+    """``state`` with its components renamed by ``roots(node, root)`` where these name them."""
+    joined = state.join(roots, F.col("comp") == F.col("node"), "left")
+    return joined.withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
+
+
+def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, root) of the rows of ``texts(row, sketch)`` that are linked to another one; their word sequences all differ."""
+    members = step(_members(texts))
+    leaders = step(members.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "a"))
+    met = members.join(leaders, "band").where(F.col("row") != F.col("a"))
+    tried = step(near_pairs(step(met.select("a", F.col("row").alias("b")).distinct()), words))
+    found = [tried.where("near").select("a", "b")]
+    roots = components(found[0])
+    # Bands whose leader is far from a member and not linked with it by others go on.
+    sides = tried.where(~F.col("near")).select("a", "b", F.col("a").alias("comp"))
+    sides = _renamed(sides, roots).select("a", "b", F.col("comp").alias("left"), F.col("b").alias("comp"))
+    apart = step(_renamed(sides, roots).where(F.col("left") != F.col("comp")).select("a", F.col("b").alias("row")))
+    open_bands = step(met.join(apart, ["a", "row"]).select("band").distinct())
+    state = members.join(open_bands, "band").join(leaders.select("band", F.col("a").alias("row")), ["band", "row"], "left_anti")
+    state = step(_renamed(state.withColumn("comp", F.col("row")), roots))
+    turn = 0
     while True:
-        leaders = state.where("round IS NULL").groupBy("band").agg(F.min(F.struct("row", "n", "past")).alias("l"))
-        leaders = step(leaders.select("band", F.col("l.row").alias("a"), F.col("l.n").alias("an"), F.col("l.past").alias("a_past")))
-        met = state.join(leaders, "band").where(F.col("row") != F.col("a"))
-        limit = _limit(F.col("n"), F.col("an"))
-        # A settled member and the leader both have a distance to the leader under which the member settled.
-        gap = F.element_at("a_past", F.col("round") + 1) - F.col("d")
-        met = step(met.where(F.col("round").isNull() | (gap <= limit)).withColumn("limit", limit).drop("a_past"))
-        pairs = step(met.where(F.abs(F.col("n") - F.col("an")) <= F.col("limit")).select("a", F.col("row").alias("b")).distinct())
-        measured = step(aligned(pairs, words))
-        known = met.join(measured.select("a", F.col("b").alias("row"), F.col("d").alias("new")), ["a", "row"], "left")
-        known = step(known.withColumn("new", F.coalesce("new", 2 * F.col("limit") + 1)))
-        near = F.col("new") <= F.col("limit")
-        found.append(known.where(near).select("a", F.col("row").alias("b")).distinct())
-        moved = known.where(F.col("round").isNull()).select(
-            "band", "row", "n", "used", F.when(near, F.lit(turn)).alias("round"), F.when(near, F.col("new")).alias("d"),
-            F.concat("past", F.array("new")).alias("past"),
-        )
-        # Bands with open members go on, with those settled members that one of these may still be near.
-        least = [F.min(F.element_at("past", i + 1)) for i in range(turn + 1)]
-        going = step(moved.where("round IS NULL").groupBy("band").agg(F.array(*least).alias("least")))
-        settled = moved.where("round IS NOT NULL").unionByName(state.where("round IS NOT NULL")).join(going, "band")
-        settled = settled.where(F.element_at("least", F.col("round") + 1) - F.col("d") <= F.floor(F.col("n") * (1 / SIMILARITY - 1)))
-        state = moved.where("round IS NULL").unionByName(settled.drop("least"))
         turn += 1
-        if turn % ROUNDS == 0:
+        if turn in SPLIT_AFTER:
             more = texts.select(F.col("row").alias("r"), F.explode("sketch").alias("more"))
-            state = state.join(more, F.col("row") == F.col("r")).where(~F.array_contains("used", F.col("more")))
-            state = state.withColumn("band", F.xxhash64("band", "more")).withColumn("used", F.array_append("used", F.col("more")))
-            state = state.drop("r", "more")
-        state = _going(state)
-        if state.isEmpty():
+            state = state.join(more, F.col("row") == F.col("r")).select(F.xxhash64("band", "more").alias("band"), "row", "comp")
+        sizes = step(state.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min("row").alias("a")))
+        mixed = sizes.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+        small = Window.partitionBy("band").orderBy("n", "a")
+        leaders = sizes.join(mixed, "band").withColumn("r", F.row_number().over(small)).where(F.col("r") <= LEADERS)
+        leaders = step(leaders.select("band", "a", F.col("comp").alias("a_comp")))
+        if leaders.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        state = step(state.join(mixed, "band"))
+        pairs = state.join(leaders, "band").where(F.col("comp") != F.col("a_comp")).select("a", F.col("row").alias("b"))
+        near = step(near_pairs(step(pairs.distinct()), words).where("near").select("a", "b"))
+        found.append(near)
+        # Each leader has met all others of its band and leaves it.
+        state = state.join(leaders.select("band", F.col("a").alias("row")), ["band", "row"], "left_anti")
+        if not near.isEmpty():
+            every = found[0]
+            for f in found[1:]:
+                every = every.unionByName(f)
+            roots = components(every)
+            state = _renamed(state.withColumn("comp", F.col("row")), roots)
+        state = step(state)
+    return roots
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,8 +256,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = step(sketched(docs, key, text))
     firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first")))
-    texts = step(rows.select("row", "n", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
-    roots = components(links(texts, rows.select("row", "words"))).select(F.col("node").alias("first"), "root")
+    texts = step(rows.select("row", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
+    roots = near_components(texts, rows.select("row", "words")).select(F.col("node").alias("first"), "root")
     named = step(
         rows.select("id", "row", "seq").join(firsts, "seq").join(roots, "first", "left")
         .select("id", "row", "seq", F.coalesce("root", "first").alias("root"))
