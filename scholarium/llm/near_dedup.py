@@ -4,8 +4,8 @@ A sketch takes the few smallest of a text's five-word shingles under one hash, e
 and keeps them in the order of the text: it agrees for two texts only if they share those shingles in that
 order, which follows edit similarity more closely than sets do. Texts that share two sketches close in number are
 candidates. The members of such a band are aligned with a leader rather than with each other. Where all of a band are linked by
-then it is done; in the others, members of its smallest components lead in turn until every member that is not
-linked with another has been aligned with it.
+then it is done. In the other bands members that are not linked are compared by all their sketches, in blocks of bounded
+size, and those that agree in a few more are aligned.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ SHINGLE = 5
 KEPT, SKETCHES = 2, 32
 #: A band is a sketch and one of the next few.
 STEPS = 3
-#: Leaders of a band in a round after the first.
-LEADERS = 8
-#: Rounds after which the members of unfinished bands must share a further sketch.
-SPLIT_AFTER = (3, 6)
+#: Sketches that members of an unfinished band must share to be aligned.
+AGREE = 4
+#: Members of a band that are compared with as many others at once.
+BLOCK_ROWS = 500
 #: 1 - edits / words of the longer text.
 SIMILARITY = 0.8
 #: Ranks that are computed at once, to stay in the processor's cache.
@@ -203,48 +203,80 @@ def _renamed(state: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
 
 
+def _unlinked_pairs(state: DataFrame) -> DataFrame:
+    """(a, b) of ``state(band, row, comp, sketch)``: rows of a band, of different components, that share AGREE sketches.
+
+    A band is cut into blocks; each pair of blocks is one piece of work of bounded size, whatever the size of the band.
+    """
+    sizes = step(state.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")))
+    cut = state.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")))
+    # The rows of block x go to the pairs (x, y) and (y, x) of blocks, the smaller number first.
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "comp", "sketch"
+    ).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "row")
+
+    def pairs(own, i, j, row, comp, sketch):
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own == j)
+        for at in left.tolist():
+            others = right[row[right] > row[at]] if i == j else right
+            others = others[comp[others] != comp[at]]
+            hit = others[(sketch[others] == sketch[at]).sum(axis=1) >= AGREE]
+            if len(hit):
+                yield np.minimum(row[at], row[hit]), np.maximum(row[at], row[hit])
+
+    def run(batches):
+        held = None
+        names = ["band", "i", "j", "own", "row", "comp"]
+
+        def found(group):
+            band, i, j, own, row, comp, sketch = group
+            return pairs(own, i[0], j[0], row, comp, sketch)
+
+        def emit(parts):
+            a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [_matrix(batch)]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            edges = [0, *new.tolist()]
+            parts = [p for x, y in zip(edges, edges[1:], strict=False) for p in found([c[x:y] for c in cols])]
+            held = [c[edges[-1] :] for c in cols]
+            if parts:
+                yield emit(parts)
+        if held is not None and len(held[0]):
+            parts = list(found(held))
+            if parts:
+                yield emit(parts)
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
     """(node, root) of the rows of ``texts(row, sketch)`` that are linked to another one; their word sequences all differ."""
     members = step(_members(texts))
     leaders = step(members.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "a"))
     met = members.join(leaders, "band").where(F.col("row") != F.col("a"))
     tried = step(near_pairs(step(met.select("a", F.col("row").alias("b")).distinct()), words))
-    found = [tried.where("near").select("a", "b")]
-    roots = components(found[0])
-    # Bands whose leader is far from a member and not linked with it by others go on.
+    links = tried.where("near").select("a", "b")
+    roots = components(links)
+    # Bands whose leader is far from a member, and not linked with it by others, are not finished.
     sides = tried.where(~F.col("near")).select("a", "b", F.col("a").alias("comp"))
     sides = _renamed(sides, roots).select("a", "b", F.col("comp").alias("left"), F.col("b").alias("comp"))
     apart = step(_renamed(sides, roots).where(F.col("left") != F.col("comp")).select("a", F.col("b").alias("row")))
-    open_bands = step(met.join(apart, ["a", "row"]).select("band").distinct())
-    state = members.join(open_bands, "band").join(leaders.select("band", F.col("a").alias("row")), ["band", "row"], "left_anti")
-    state = step(_renamed(state.withColumn("comp", F.col("row")), roots))
-    turn = 0
-    while True:
-        turn += 1
-        if turn in SPLIT_AFTER:
-            more = texts.select(F.col("row").alias("r"), F.explode("sketch").alias("more"))
-            state = state.join(more, F.col("row") == F.col("r")).select(F.xxhash64("band", "more").alias("band"), "row", "comp")
-        sizes = step(state.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min("row").alias("a")))
-        mixed = sizes.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
-        small = Window.partitionBy("band").orderBy("n", "a")
-        leaders = sizes.join(mixed, "band").withColumn("r", F.row_number().over(small)).where(F.col("r") <= LEADERS)
-        leaders = step(leaders.select("band", "a", F.col("comp").alias("a_comp")))
-        if leaders.isEmpty():
-            break
-        state = step(state.join(mixed, "band"))
-        pairs = state.join(leaders, "band").where(F.col("comp") != F.col("a_comp")).select("a", F.col("row").alias("b"))
-        near = step(near_pairs(step(pairs.distinct()), words).where("near").select("a", "b"))
-        found.append(near)
-        # Each leader has met all others of its band and leaves it.
-        state = state.join(leaders.select("band", F.col("a").alias("row")), ["band", "row"], "left_anti")
-        if not near.isEmpty():
-            every = found[0]
-            for f in found[1:]:
-                every = every.unionByName(f)
-            roots = components(every)
-            state = _renamed(state.withColumn("comp", F.col("row")), roots)
-        state = step(state)
-    return roots
+    rest = step(met.join(apart, ["a", "row"]).select("band").distinct())
+    state = _renamed(members.join(rest, "band").withColumn("comp", F.col("row")), roots)
+    state = step(state.join(texts, "row").select("band", "row", "comp", "sketch"))
+    # The leaders have met all members of their bands.
+    again = step(_unlinked_pairs(state).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    more = step(near_pairs(again, words).where("near").select("a", "b"))
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
