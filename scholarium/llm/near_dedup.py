@@ -31,8 +31,8 @@ SHINGLE = 5
 KEPT, SKETCHES = 2, 32
 #: A band is a sketch and one of the next few.
 STEPS = 3
-#: Sketches that members of an unfinished band must share to be aligned.
-AGREE = 4
+#: Sketches, and smallest shingles alone, that members of an unfinished band must share to be aligned.
+AGREE, AGREE_FIRST = 4, 10
 #: Members of a band that are compared with as many others at once.
 BLOCK_ROWS = 500
 #: 1 - edits / words of the longer text.
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 CELLS = 1 << 15
 CACHE_WORDS = 1_000_000
 
+HIGH = np.uint64(0xFFFFFFFF00000000)
+
 _rng = np.random.default_rng(20)
 SEEDS = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,9 +84,9 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(words: np.ndarray) -> np.ndarray:
-    """The sketches of a text, a number each."""
+    """The sketches of a text, a number each, and after them the smallest shingle of each and its place (32 bits each)."""
     h = shingles(words)
-    out = np.zeros(len(SEEDS), np.uint64)
+    out, first = np.zeros(len(SEEDS), np.uint64), np.zeros(len(SEEDS), np.uint64)
     step_ = max(1, CELLS // len(h))
     kept = min(KEPT, len(h))
     for a in range(0, len(SEEDS), step_):
@@ -99,7 +101,8 @@ def sketches(words: np.ndarray) -> np.ndarray:
         for i in np.sort(np.stack(picks), axis=0):
             sketch = _mix(sketch + h[i])
         out[a : a + step_] = sketch
-    return out.view(np.int64)
+        first[a : a + step_] = (h[picks[0]] & HIGH) | picks[0].astype(np.uint64)
+    return np.concatenate([out, first]).view(np.int64)
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -171,12 +174,12 @@ def near_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _matrix(batch) -> np.ndarray:
-    return batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES)
+    return batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * SKETCHES)
 
 
 def _keys(batch) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return band_keys(_matrix(batch)).ravel()
+        return band_keys(_matrix(batch)[:, :SKETCHES]).ravel()
 
 
 def _members(texts: DataFrame) -> DataFrame:
@@ -189,7 +192,7 @@ def _members(texts: DataFrame) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys = band_keys(_matrix(batch)).reshape(batch.num_rows, -1)
+                keys = band_keys(_matrix(batch)[:, :SKETCHES]).reshape(batch.num_rows, -1)
                 hit = np.flatnonzero(shared.value.has(keys.ravel()))
                 rows = batch.column("row").take(pa.array(hit // keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[hit].view(np.int64)), rows], names=["band", "row"])
@@ -204,7 +207,8 @@ def _renamed(state: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _unlinked_pairs(state: DataFrame) -> DataFrame:
-    """(a, b) of ``state(band, row, comp, sketch)``: rows of a band, of different components, that share AGREE sketches.
+    """(a, b) of ``state(band, row, n, comp, sketch)``: rows of a band, of different components and like lengths, that agree
+    in more sketches. A pair comes from the first band that it shares only.
 
     A band is cut into blocks; each pair of blocks is one piece of work of bounded size, whatever the size of the band.
     """
@@ -213,26 +217,39 @@ def _unlinked_pairs(state: DataFrame) -> DataFrame:
     # The rows of block x go to the pairs (x, y) and (y, x) of blocks, the smaller number first.
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "comp", "sketch"
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "comp", "sketch"
     ).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "row")
 
-    def pairs(own, i, j, row, comp, sketch):
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
+    def pairs(band, i, j, own, row, n, comp, sketch):
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         for at in left.tolist():
             others = right[row[right] > row[at]] if i == j else right
-            others = others[comp[others] != comp[at]]
-            hit = others[(sketch[others] == sketch[at]).sum(axis=1) >= AGREE]
+            longer = np.maximum(n[others], n[at])
+            others = others[(comp[others] != comp[at]) & (np.abs(n[others] - n[at]) <= longer * (1 - SIMILARITY) + 1e-9)]
+            if not len(others):
+                continue
+            same = sketch[others, :SKETCHES] == sketch[at, :SKETCHES]
+            one, two = sketch[others, SKETCHES:], sketch[at, SKETCHES:]
+            # What two near texts share stands at places that differ by the edits at most.
+            longer = np.maximum(n[others], n[at])[:, None]
+            moved = np.abs((one & 0xFFFFFFFF) - (two & 0xFFFFFFFF)) <= longer * (1 - SIMILARITY) + 1
+            first = ((one >> 32) == (two >> 32)) & moved
+            agree = (same.sum(axis=1) >= AGREE) & (first.sum(axis=1) >= AGREE_FIRST)
+            hit, same = others[agree], same[agree]
             if len(hit):
+                shared = np.stack([same & np.roll(same, -k, axis=1) for k in range(1, STEPS + 1)], axis=2).reshape(len(hit), -1)
+                keys = band_keys(sketch[at : at + 1, :SKETCHES]).ravel().view(np.int64)
+                hit = hit[keys[shared.argmax(axis=1)] == band]
                 yield np.minimum(row[at], row[hit]), np.maximum(row[at], row[hit])
 
     def run(batches):
         held = None
-        names = ["band", "i", "j", "own", "row", "comp"]
+        names = ["band", "i", "j", "own", "row", "n", "comp"]
 
         def found(group):
-            band, i, j, own, row, comp, sketch = group
-            return pairs(own, i[0], j[0], row, comp, sketch)
+            band, i, j, *rest = group
+            with np.errstate(over="ignore"):
+                yield from pairs(band[0], i[0], j[0], *rest)
 
         def emit(parts):
             a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -255,28 +272,26 @@ def _unlinked_pairs(state: DataFrame) -> DataFrame:
             if parts:
                 yield emit(parts)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, root) of the rows of ``texts(row, sketch)`` that are linked to another one; their word sequences all differ."""
+    """(node, root) of the rows of ``texts(row, n, sketch)`` that are linked to another one; their word sequences all differ."""
     members = step(_members(texts))
     leaders = step(members.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "a"))
     met = members.join(leaders, "band").where(F.col("row") != F.col("a"))
     tried = step(near_pairs(step(met.select("a", F.col("row").alias("b")).distinct()), words))
-    links = tried.where("near").select("a", "b")
-    roots = components(links)
+    roots = components(tried.where("near").select("a", "b"))
     # Bands whose leader is far from a member, and not linked with it by others, are not finished.
     sides = tried.where(~F.col("near")).select("a", "b", F.col("a").alias("comp"))
     sides = _renamed(sides, roots).select("a", "b", F.col("comp").alias("left"), F.col("b").alias("comp"))
     apart = step(_renamed(sides, roots).where(F.col("left") != F.col("comp")).select("a", F.col("b").alias("row")))
     rest = step(met.join(apart, ["a", "row"]).select("band").distinct())
-    state = _renamed(members.join(rest, "band").withColumn("comp", F.col("row")), roots)
-    state = step(state.join(texts, "row").select("band", "row", "comp", "sketch"))
-    # The leaders have met all members of their bands.
-    again = step(_unlinked_pairs(state).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    more = step(near_pairs(again, words).where("near").select("a", "b"))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    state = _renamed(members.join(rest, "band").withColumn("comp", F.col("row")), roots).join(texts, "row")
+    # Pairs that were tried before are not tried again.
+    again = _unlinked_pairs(step(state.select("band", "row", "n", "comp", "sketch"))).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = step(near_pairs(step(again), words).where("near"))
+    return roots if more.isEmpty() else components(tried.where("near").unionByName(more).select("a", "b"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,14 +303,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     rows = step(sketched(docs, key, text))
     firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first")))
-    texts = step(rows.select("row", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
+    texts = step(rows.select("row", "n", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
     roots = near_components(texts, rows.select("row", "words")).select(F.col("node").alias("first"), "root")
     named = step(
         rows.select("id", "row", "seq").join(firsts, "seq").join(roots, "first", "left")
         .select("id", "row", "seq", F.coalesce("root", "first").alias("root"))
     )
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    classes = named.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("class_size"))
+    # Written, so that the join below meets two plain tables and a large class can be split.
+    classes = step(named.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("class_size")))
     return named.join(classes, "root").select(
         F.col("id").alias(key), F.col("w.id").alias("class_id"), "class_size", (F.col("row") == F.col("w.row")).alias("kept"),
     )
