@@ -154,6 +154,13 @@ def _only(words: DataFrame, pairs: DataFrame) -> DataFrame:
     return words.where(wanted("row"))
 
 
+def near(x: bytes, y: bytes) -> bool:
+    """Whether the edit similarity of two texts, as stored words, reaches the threshold."""
+    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    limit = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
+    return distance(x, y, limit) <= limit
+
+
 def near_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """``pairs(a, b)`` of rows, with near: whether their edit similarity reaches the threshold."""
     words = _only(words, pairs)
@@ -163,12 +170,10 @@ def near_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            near = []
+            found = []
             for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                limit = int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)
-                near.append(distance(x, y, limit) <= limit)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+                found.append(near(x, y))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.bool_())], names=["a", "b", "near"])
 
     return both.mapInArrow(run, "a long, b long, near boolean")
 
@@ -206,10 +211,10 @@ def _renamed(state: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
 
 
-def _unlinked_pairs(state: DataFrame) -> DataFrame:
-    """(a, b) of ``state(band, row, n, comp, sketch)``: rows of a band, of different components and like lengths, that agree
-    in more sketches. A pair comes from the first band that it shares only.
+def _late_links(state: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of ``state(band, row, n, comp, sketch, words)``: rows of a band and of different components.
 
+    Pairs of like lengths that agree in more sketches are aligned on the spot, each in the first band that it shares.
     A band is cut into blocks; each pair of blocks is one piece of work of bounded size, whatever the size of the band.
     """
     sizes = step(state.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")))
@@ -217,10 +222,10 @@ def _unlinked_pairs(state: DataFrame) -> DataFrame:
     # The rows of block x go to the pairs (x, y) and (y, x) of blocks, the smaller number first.
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "comp", "sketch"
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "n", "comp", "sketch", "words"
     ).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "row")
 
-    def pairs(band, i, j, own, row, n, comp, sketch):
+    def pairs(band, i, j, own, row, n, comp, sketch, words):
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         for at in left.tolist():
             others = right[row[right] > row[at]] if i == j else right
@@ -240,7 +245,8 @@ def _unlinked_pairs(state: DataFrame) -> DataFrame:
                 shared = np.stack([same & np.roll(same, -k, axis=1) for k in range(1, STEPS + 1)], axis=2).reshape(len(hit), -1)
                 keys = band_keys(sketch[at : at + 1, :SKETCHES]).ravel().view(np.int64)
                 hit = hit[keys[shared.argmax(axis=1)] == band]
-                yield np.minimum(row[at], row[hit]), np.maximum(row[at], row[hit])
+                hit = hit[[near(words[at], words[x]) for x in hit.tolist()]] if len(hit) else hit
+                yield np.full(len(hit), row[at]), row[hit]
 
     def run(batches):
         held = None
@@ -257,6 +263,7 @@ def _unlinked_pairs(state: DataFrame) -> DataFrame:
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [_matrix(batch)]
+            cols.append(batch.column("words").to_numpy(zero_copy_only=False))
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -288,10 +295,10 @@ def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
     apart = step(_renamed(sides, roots).where(F.col("left") != F.col("comp")).select("a", F.col("b").alias("row")))
     rest = step(met.join(apart, ["a", "row"]).select("band").distinct())
     state = _renamed(members.join(rest, "band").withColumn("comp", F.col("row")), roots).join(texts, "row")
-    # Pairs that were tried before are not tried again.
-    again = _unlinked_pairs(step(state.select("band", "row", "n", "comp", "sketch"))).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = step(near_pairs(step(again), words).where("near"))
-    return roots if more.isEmpty() else components(tried.where("near").unionByName(more).select("a", "b"))
+    state = step(state.select("band", "row", "n", "comp", "sketch"))
+    named = state.select(F.col("row").alias("a"), F.col("row").alias("b")).distinct()
+    more = step(_late_links(state.join(_only(words, named), "row")))
+    return roots if more.isEmpty() else components(tried.where("near").select("a", "b").unionByName(more))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
