@@ -39,7 +39,7 @@ BLOCK_ROWS = 500
 SIMILARITY = 0.8
 #: Ranks that are computed at once, to stay in the processor's cache.
 CELLS = 1 << 15
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 HIGH = np.uint64(0xFFFFFFFF00000000)
 

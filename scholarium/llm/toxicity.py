@@ -29,7 +29,7 @@ SAMPLE_DOCS = 16_000
 MAX_FEATURES = 20_000
 MIN_DOCS = 2
 #: Words whose weight a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def features(word: str) -> list[str]:
