@@ -311,12 +311,15 @@ def _(spark, sf):
     )
 
 
-WALK_SQL = """WITH RECURSIVE walk AS (
-      SELECT parent_cluster_id AS cluster_id, lambda_val FROM cluster_trees WHERE trial_id=1
-        AND parent_cluster_id NOT IN (SELECT child_cluster_id FROM cluster_trees WHERE trial_id=1)
-      UNION ALL SELECT ct.child_cluster_id, ct.lambda_val FROM cluster_trees ct JOIN walk w
-        ON ct.parent_cluster_id=w.cluster_id WHERE ct.trial_id=1 AND ct.lambda_val>={x})
-    SELECT DISTINCT cluster_id, lambda_val FROM walk WHERE lambda_val>={x}"""
+# A cluster belongs if no edge on its way from the root is below x: the walk carries the lowest one down.
+WALK_SQL = """WITH RECURSIVE edges AS (
+      SELECT parent_cluster_id AS up, child_cluster_id AS down, lambda_val AS l FROM cluster_trees WHERE trial_id=1),
+    tops AS (SELECT * FROM edges WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.down = edges.up)),
+    reached AS (
+      SELECT down, l, l AS lowest FROM tops
+      UNION ALL SELECT e.down, e.l, least(e.l, r.lowest) FROM reached r JOIN edges e ON e.up = r.down)
+    SELECT down AS cluster_id, l AS lambda_val FROM reached WHERE lowest >= {x}
+    UNION SELECT up, l FROM tops WHERE l >= {x}"""
 
 
 @query("j14_clusters_at_lambda", WALK_SQL.replace("{x}", "0.25"))
