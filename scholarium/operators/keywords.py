@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarium.functions.text import STOP_WORDS, words, words_and_pairs
+from scholarium.session import cut_lineage
 
 
 def cluster_keywords(
@@ -27,6 +28,8 @@ def cluster_keywords(
     tf = docs.select("cluster_id", "paper_id", F.explode("terms").alias("term")).groupBy(
         "cluster_id", "paper_id", "term"
     ).agg(F.count("*").alias("tf"))
+    # Read twice below; texts are cut into terms once.
+    tf = cut_lineage(tf)
     df = (
         tf.groupBy("cluster_id", "term")
         .agg(F.count("*").alias("df"))

@@ -66,10 +66,11 @@ def mean_group_size(df: DataFrame, key: str) -> DataFrame:
 def author_strings(papers: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
     """Papers with the display string of their authors, in author order; NULL without authors.
 
-    Links meet the author table before the papers, so the grouped side carries names only and the
-    wide text columns are joined after the aggregate.
+    Only links of the papers asked for are grouped. They meet the author table before the papers, so the grouped side
+    carries names only and the wide text columns are joined after the aggregate.
     """
-    named = links.join(
+    asked = links.join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+    named = asked.join(
         authors.select(
             F.col("id").alias("author_id"), author_display("keyname", "forenames", "suffix").alias("_name")
         ),

@@ -88,9 +88,10 @@ def _(spark, sf):
     return v.table(spark, sf, "orders").select("o_orderkey", F.unix_seconds(tx.parse_record_date(text)).alias("seconds"))
 
 
-@query("f13_creation_stamp")
+@query("f13_creation_stamp", "SELECT doc_id, TIMESTAMP '2024-05-06 07:08:09' AS created_at FROM documents")
 def _(spark, sf):
-    return v.table(spark, sf, "documents").select("doc_id", F.current_timestamp().alias("created_at"))
+    stamp = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    return v.table(spark, sf, "documents").select("doc_id", stamp.alias("created_at"))
 
 
 @query("f14_guarded_shares", """SELECT c_nationkey, round(100.0*count(*) FILTER (WHERE c_acctbal>9000)/nullif(count(*) FILTER (WHERE c_acctbal>0),0),1) AS pct

@@ -99,14 +99,14 @@ def _(spark, sf):
     return nb.knn_graph(s, 100, "cosine").withColumn("rank", F.col("rank").cast("long"))
 
 
-QUALITY_SQL = f"""WITH g AS ({KNN_SQL.replace('{k}', '20')}), p AS (SELECT src, avg(1-distance) AS m, var_pop(1-distance) AS s2 FROM g GROUP BY src),
+QUALITY_SQL = f"""WITH g AS ({KNN_SQL.replace('{k}', '100')}), p AS (SELECT src, avg(1-distance) AS m, var_pop(1-distance) AS s2 FROM g GROUP BY src),
     t AS (SELECT avg(m) AS m, stddev_pop(m) AS s, avg(s2) AS vm, stddev_pop(s2) AS vs FROM p)"""
 
 
 @query("v04_neighbourhood_quality", QUALITY_SQL + """ SELECT src, round(p.m,6) AS mean_similarity, round(p.s2,6) AS variance,
     (p.m<t.m-2*t.s OR p.s2>t.vm+2*t.vs) AS outlier FROM p, t""")
 def _(spark, sf):
-    q = nb.neighbourhood_quality(cut_lineage(_graph(spark, sf, 20)))
+    q = nb.neighbourhood_quality(cut_lineage(_graph(spark, sf, 100)))
     return q.select("src", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("variance", 6).alias("variance"), "outlier")
 
 
@@ -114,14 +114,14 @@ def _(spark, sf):
     round(stddev_pop(p.s2),6) AS var_std, count(*) FILTER (WHERE p.m<t.m-2*t.s OR p.s2>t.vm+2*t.vs) AS outlier_count,
     round(min(p.m),6) AS lowest, round(max(p.m),6) AS highest FROM p, t""")
 def _(spark, sf):
-    return nb.quality_summary(cut_lineage(_graph(spark, sf, 20)))
+    return nb.quality_summary(cut_lineage(_graph(spark, sf, 100)))
 
 
 @query("v04_similarity_histogram", QUALITY_SQL + """, l AS (SELECT min(m) AS lo, (max(m)-min(m))/20 AS w FROM p)
     SELECT CAST(b.bin AS INT) AS bin, coalesce(c.n,0) AS n FROM range(20) b(bin) LEFT JOIN
     (SELECT least(floor((m-lo)/w),19) AS bin, count(*) AS n FROM p, l GROUP BY 1) c ON b.bin=c.bin""")
 def _(spark, sf):
-    q = nb.neighbourhood_quality(cut_lineage(_graph(spark, sf, 20)))
+    q = nb.neighbourhood_quality(cut_lineage(_graph(spark, sf, 100)))
     return ve.histogram(cut_lineage(q), F.col("mean_similarity"), 20).select("bin", "n")
 
 

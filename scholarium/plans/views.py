@@ -23,7 +23,7 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     lab = table(spark, sf, "labels")
     return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", ". ", 1).alias("title"),
         F.col("text").alias("abstract"),
         F.concat_ws(" ", "lang", "source").alias("categories"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("withdrawn"),
@@ -187,7 +187,7 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VIEW_SQL: dict[str, str] = {
-    "papers": """SELECT d.doc_id AS id, substring(d.text,1,60) AS title, d.text AS abstract,
+    "papers": """SELECT d.doc_id AS id, split_part(d.text,'. ',1) AS title, d.text AS abstract,
         concat(d.lang,' ',d.source) AS categories, (coalesce(l.toxic,0)=1) AS withdrawn, l.quality AS quality
         FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id""",
     "paper_versions": """SELECT user_id AS paper_id,
