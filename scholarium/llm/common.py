@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarium.session import cut_lineage, shared_folder
+from scholarium.session import scratch_path
 
 #: The six characters that count as white space in every contract of this folder.
 WHITE = " \t\n\x0b\x0c\r"
@@ -38,9 +38,13 @@ def parts(spark: SparkSession) -> int:
 
 
 def step(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there; survives lost executors."""
-    shared_folder(df.sparkSession)
-    return cut_lineage(df)
+    """Write ``df`` to the shared folder and go on from there; survives lost executors.
+
+    Steps hold texts, word numbers and sketches, which take much less room under zstd than under the default.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -212,13 +212,17 @@ def _renamed(state: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _late_links(state: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of ``state(band, row, n, comp, sketch, words)``: rows of a band and of different components.
+    """Near pairs (a, b) of ``state(bands, row, n, comp, sketch, words)``: rows of a band and of different components.
 
     Pairs of like lengths that agree in more sketches are aligned on the spot, each in the first band that it shares.
     A band is cut into blocks; each pair of blocks is one piece of work of bounded size, whatever the size of the band.
     """
-    sizes = step(state.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")))
-    cut = state.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")))
+    listed = state.select(F.explode("bands").alias("band"), "row")
+    sizes = step(listed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks")))
+    # A row has few bands and is sent along once with all of them; only the explosion below repeats it.
+    placed = listed.join(sizes, "band").groupBy("row").agg(F.collect_list(F.struct("band", "blocks")).alias("placed"))
+    cut = state.drop("bands").join(placed, "row").withColumn("p", F.explode("placed")).select("*", "p.*")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("row", "band"), F.col("blocks")))
     # The rows of block x go to the pairs (x, y) and (y, x) of blocks, the smaller number first.
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(
@@ -294,9 +298,11 @@ def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
     sides = _renamed(sides, roots).select("a", "b", F.col("comp").alias("left"), F.col("b").alias("comp"))
     apart = step(_renamed(sides, roots).where(F.col("left") != F.col("comp")).select("a", F.col("b").alias("row")))
     rest = step(met.join(apart, ["a", "row"]).select("band").distinct())
-    state = _renamed(members.join(rest, "band").withColumn("comp", F.col("row")), roots).join(texts, "row")
-    state = step(state.select("band", "row", "n", "comp", "sketch"))
-    named = state.select(F.col("row").alias("a"), F.col("row").alias("b")).distinct()
+    # One record for each row, with its at most SKETCHES * STEPS bands, meets the sketches and the words.
+    state = members.join(rest, "band").groupBy("row").agg(F.collect_list("band").alias("bands"))
+    state = _renamed(state.withColumn("comp", F.col("row")), roots).join(texts, "row")
+    state = step(state.select("bands", "row", "n", "comp", "sketch"))
+    named = state.select(F.col("row").alias("a"), F.col("row").alias("b"))
     more = step(_late_links(state.join(_only(words, named), "row")))
     return roots if more.isEmpty() else components(tried.where("near").select("a", "b").unionByName(more))
 

@@ -269,6 +269,27 @@ def test_near_classes(docs):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_classes_of_chains(spark, monkeypatch):
+    """Each text is near the next ones only, so that leaders do not finish their bands; blocks are smaller than bands."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    data = []
+    for chain in range(3):
+        text = rng.choices(words, k=120)
+        for _ in range(30):
+            data.append((len(data), " ".join(text)))
+            at = rng.randrange(110)
+            text = [*text[:at], *rng.choices(words, k=4), *text[at + 4 :]]
+    # The first ids are not at one end of the chain.
+    order = rng.sample(range(len(data)), len(data))
+    df = spark.createDataFrame([(order[i], t) for i, t in data], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()}
+    for chain in range(3):
+        ids = order[30 * chain : 30 * chain + 30]
+        assert {found[i] for i in ids} == {min(ids)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
