@@ -73,24 +73,26 @@ def clusters_at_lambda(trees: DataFrame, trial_id: int, level: float) -> DataFra
         frontier = step.select("cluster_id").distinct()
 
 
-def clusters_at_lambda_sql(trees: DataFrame, trial_id: int, level: float) -> DataFrame:
-    """The same as one recursive query; depth and size are bound by the session's recursion limits."""
-    return trees.sparkSession.sql(
-        """
-        WITH RECURSIVE edges AS (SELECT * FROM {trees} WHERE trial_id = {trial_id}),
-        walk(cluster_id, lambda_val) AS (
-            SELECT e.parent_cluster_id, e.lambda_val FROM edges e
-            LEFT ANTI JOIN edges c ON e.parent_cluster_id = c.child_cluster_id
-            UNION ALL
-            SELECT e.child_cluster_id, e.lambda_val FROM edges e JOIN walk w ON e.parent_cluster_id = w.cluster_id
-            WHERE e.lambda_val >= {level}
-        )
-        SELECT DISTINCT cluster_id, lambda_val FROM walk WHERE lambda_val >= {level}
-        """,
-        trees=trees,
-        trial_id=trial_id,
-        level=level,
-    )
+def clusters_at_lambda_by_jumps(trees: DataFrame, trial_id: int, level: float) -> DataFrame:
+    """The same for trees in which every cluster has one parent, in as many rounds as the depth has binary digits.
+
+    Each cluster keeps an ancestor and the lowest level on the way to it, and takes over its ancestor's ancestor.
+    """
+    t = _trial(trees, trial_id).select("parent_cluster_id", "child_cluster_id", "lambda_val")
+    # A missing level hides what lies below, as any level under ``level`` does.
+    known = F.coalesce("lambda_val", F.lit(float("-inf")))
+    ways = cut_lineage(t.select(F.col("child_cluster_id").alias("node"), F.col("parent_cluster_id").alias("up"), known.alias("lowest")))
+    while True:
+        above = ways.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("lowest").alias("further"))
+        jumped = cut_lineage(ways.join(above, "up", "left"))
+        if jumped.where(F.col("next").isNotNull()).isEmpty():
+            break
+        ways = jumped.select("node", F.coalesce("next", "up").alias("up"), F.least("lowest", "further").alias("lowest"))
+    open_ = ways.where(F.col("lowest") >= level).select(F.col("node").alias("child_cluster_id"))
+    below = t.join(open_, "child_cluster_id", "left_semi").select(F.col("child_cluster_id").alias("cluster_id"), "lambda_val")
+    top = roots(trees, trial_id).select(F.col("cluster_id").alias("parent_cluster_id"))
+    first = t.where(F.col("lambda_val") >= level).join(top, "parent_cluster_id", "left_semi")
+    return below.unionByName(first.select(F.col("parent_cluster_id").alias("cluster_id"), "lambda_val")).distinct()
 
 
 def hierarchy_walk(

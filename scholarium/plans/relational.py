@@ -334,7 +334,7 @@ def _(spark, sf):
 
 @query("j14_clusters_at_lambda_recursive", WALK_SQL.replace("{x}", "0.25"))
 def _(spark, sf):
-    return hi.clusters_at_lambda_sql(v.cluster_trees(spark, sf), 1, 0.25)
+    return hi.clusters_at_lambda_by_jumps(v.cluster_trees(spark, sf), 1, 0.25)
 
 
 @query("j15_hierarchy_walk", """WITH RECURSIVE w AS (

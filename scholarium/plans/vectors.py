@@ -340,9 +340,8 @@ def _(spark, sf):
     return rp.relevance_heat(v.viz_artifacts(spark, sf), v.cluster_labels(spark, sf), 1)
 
 
-@query("v21_scatter_at_level", WALK_SQL.replace("{x}", "0.25").replace("SELECT DISTINCT cluster_id, lambda_val FROM walk", """
-    SELECT a.paper_id, a.cluster_id, a.cluster_prob, CASE WHEN a.cluster_id IN (SELECT cluster_id FROM walk WHERE lambda_val>=0.25)
-      THEN 'Cluster ' || a.cluster_id ELSE 'Noise' END AS series FROM artifacts a""").removesuffix("WHERE lambda_val>=0.25"))
+@query("v21_scatter_at_level", f"""SELECT a.paper_id, a.cluster_id, a.cluster_prob, CASE WHEN a.cluster_id IN (SELECT cluster_id FROM
+    ({WALK_SQL.replace('{x}', '0.25')}) w) THEN 'Cluster ' || a.cluster_id ELSE 'Noise' END AS series FROM artifacts a""")
 def _(spark, sf):
     return rp.scatter_at_level(v.artifacts(spark, sf), v.cluster_trees(spark, sf), 1, 0.25)
 

@@ -191,7 +191,7 @@ def test_weak_edge_hides_its_subtree(spark):
     ).withColumn("lambda_val", F.round(F.col("lambda_val").cast("double"), 3))
     want = [(0, 0.5), (1, 0.5), (4, 0.7)]
     assert rows(hi.clusters_at_lambda(t, 1, 0.3)) == want
-    assert rows(hi.clusters_at_lambda_sql(t, 1, 0.3)) == want
+    assert rows(hi.clusters_at_lambda_by_jumps(t, 1, 0.3)) == want
     assert rows(hi.meaningful_edges(t).select("child_cluster_id")) == [(1,), (2,), (3,)]
     walk = [r["cluster_id"] for r in hi.hierarchy_walk(t, 1).orderBy("path").collect()]
     assert walk == [0, 1, 4, 2, 3]
