@@ -203,9 +203,12 @@ def _(spark, sf):
     return cl.clusters_needing_labels(v.cluster_metrics(spark, sf), v.artifacts(spark, sf), strict=False)
 
 
-SUFFIX_SQL = """CASE WHEN upper(trim(suffix)) IN ('JR','JR.','JUNIOR') THEN 'Jr.'
-    WHEN upper(trim(suffix)) IN ('SR','SR.','SENIOR') THEN 'Sr.'
-    WHEN upper(trim(suffix)) IN ('I','II','III','IV','V') THEN upper(trim(suffix)) ELSE nullif(trim(suffix),'') END"""
+SUFFIX_SQL = "CASE " + " ".join(
+    f"WHEN upper(trim(suffix)) IN ({', '.join(map(repr, spellings))}) THEN {kept}"
+    for spellings, kept in (
+        (tx.JUNIOR_SPELLINGS, "'Jr.'"), (tx.SENIOR_SPELLINGS, "'Sr.'"), (tx.ROMAN_SUFFIXES, "upper(trim(suffix))")
+    )
+) + " ELSE nullif(trim(suffix),'') END"
 IDENTITY_SQL = f"SELECT id, keyname, coalesce(forenames,'') AS f, coalesce({SUFFIX_SQL},'') AS s FROM authors"
 MAPPING_SQL = f"""SELECT i.id AS old_id, c.new_id FROM ({IDENTITY_SQL}) i JOIN
     (SELECT keyname, f, s, min(id) AS new_id FROM ({IDENTITY_SQL}) GROUP BY keyname, f, s) c
