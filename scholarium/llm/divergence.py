@@ -15,34 +15,38 @@ from __future__ import annotations
 import heapq
 import pickle
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from itertools import groupby
+from itertools import batched, chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarium.llm.common import column, parts, slices, step
 
 #: Postings that a task holds before it spills a run.
-BLOCK_POSTINGS = 400_000
-#: Postings in a chunk of a run.
-CHUNK = 4096
+BLOCK_POSTINGS = 600_000
+#: Postings in a chunk of a run, and those that are summed at once.
+CHUNK, MERGE_POSTINGS = 4096, 1 << 16
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 #: Terms that a report lists for each source.
 REPORT = 200
 #: Sources of a language whose pair sums a task holds as one matrix.
 MATRIX = 1024
+#: Terms x sources x sources that are worked on at once.
+CELLS = 1 << 18
 
 # Bytes of UTF-8 that belong to a term: letters of ASCII, in lower case, and all others beyond ASCII. The rest becomes a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 class Block:
-    """Postings in memory: per (language, source) the occurrences and the documents of each term."""
+    """Postings in memory: per (language, source) the occurrences and the documents of each term, in the same order."""
 
     def __init__(self):
         self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -55,45 +59,76 @@ class Block:
             held = self.groups[lang, source] = (Counter(), Counter())
         before = len(held[0])
         held[0].update(terms)
-        held[1].update(set(terms))
+        held[1].update(list(dict.fromkeys(terms)))
         self.size += len(held[0]) - before
 
     def run(self, shards: int):
-        """(shard, [(language, term, source, occurrences, documents)]) in order, and an empty block after it."""
-        dealt: list[list] = [[] for _ in range(shards)]
-        for (lang, source), (n, docs) in self.groups.items():
-            lang_, source_ = lang.encode(), source.encode()
-            for term, k in n.items():
-                dealt[zlib.crc32(term, zlib.crc32(lang_)) % shards].append((lang_, term, source_, k, docs[term]))
-        self.__init__()
-        for shard, rows in enumerate(dealt):
-            rows.sort()
-            yield shard, rows
-
-
-def _chunks(shard: int, rows: list):
-    for a in range(0, len(rows), CHUNK):
-        cut = rows[a : a + CHUNK]
-        yield shard, cut[0][0], cut[0][1], zlib.compress(pickle.dumps(list(zip(*cut, strict=True)), 5), 1)
+        """Chunks (shard, first key, body) of all postings in the order of their keys, which leave the block empty.
 
-
-def _rows(body: bytes):
-    return zip(*pickle.loads(zlib.decompress(body)), strict=True)
+        A key is the language in hexadecimal digits, a space and the term: no term has a space.
+        """
+        held = [(lang.encode().hex().encode(), source, n, docs) for (lang, source), (n, docs) in self.groups.items() if n]
+        self.__init__()
+        if not held:
+            return
+        keys = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(x), pa.array(list(n), pa.binary()), pa.scalar(b" ")) for x, _, n, _ in held])
+        hashes = [np.fromiter(map(zlib.crc32, n), np.uint32, len(n)) ^ np.uint32(zlib.crc32(x)) for x, _, n, _ in held]
+        names = [source for _, source, _, _ in held]
+        codes = np.repeat(np.arange(len(held)), [len(n) for *_, n, _ in held])
+        counts = [np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in own]) for own in zip(*(x[2:] for x in held), strict=True)]
+        order = pc.sort_indices(keys).to_numpy()
+        shard = (np.concatenate(hashes) % np.uint32(shards)).astype(np.int64)[order]
+        by_shard = np.argsort(shard, kind="stable")
+        order, shard = order[by_shard], shard[by_shard]
+        keys, codes, (n, docs) = keys.take(pa.array(order)), codes[order], (c[order] for c in counts)
+        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            for x in range(a, b, CHUNK):
+                y = min(x + CHUNK, b)
+                yield int(shard[x]), keys[x].as_py(), packed(keys[x:y], codes[x:y], names, n[x:y], docs[x:y])
+
+
+def packed(keys: pa.Array, codes: np.ndarray, names: list[str], n: np.ndarray, docs: np.ndarray) -> bytes:
+    """A chunk as bytes; its sources are numbered anew."""
+    used, own = np.unique(codes, return_inverse=True)
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    data = keys.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes()
+    numbers = [x.tobytes() for x in (offsets - offsets[0], own.astype(np.int32), n, docs)]
+    return pickle.dumps((data, [names[i] for i in used.tolist()], *numbers), 5)
+
+
+class Chunk:
+    """Postings in the order of their keys: a key, the number of a source, occurrences and documents."""
+
+    def __init__(self, body: bytes, known: dict[str, int]):
+        data, names, offsets, codes, n, docs = pickle.loads(body)
+        size = len(offsets) // 4 - 1
+        self.keys = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        numbers = np.array([known.setdefault(s, len(known)) for s in names])
+        self.columns = [numbers[np.frombuffer(codes, np.int32)], np.frombuffer(n, np.int64), np.frombuffer(docs, np.int64)]
+
+    def key(self, i: int) -> bytes:
+        return self.keys[i].as_py()
+
+    def cut(self, a: int, limit: bytes | None) -> tuple[int, list]:
+        """The end of the postings from ``a`` with a key below ``limit``, and these."""
+        b = len(self.keys) if limit is None else bisect_left(range(len(self.keys)), limit, lo=a, key=self.key)
+        return b, [self.keys[a:b], *[c[a:b] for c in self.columns]]
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, lang, term, body): chunks of sorted runs, named by their first posting, from ``docs(lang, source, text)``."""
+    """(shard, first, body): chunks of sorted runs, named by their first key, from ``docs(lang, source, text)``."""
 
     def spill(batches):
         block = Block()
 
         def emit():
-            found = [c for shard, rows in block.run(shards) for c in _chunks(shard, rows)]
-            for a in range(0, len(found), 64):
-                arrays = [pa.array(x, t) for x, t in zip(zip(*found[a : a + 64], strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "lang", "term", "body"])
+            for some in batched(block.run(shards), 64):
+                shard, first, body = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), pa.array(first, pa.binary()), pa.array(body, pa.binary())], names=["shard", "first", "body"]
+                )
 
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in slices(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 block.add(*row)
@@ -101,33 +136,55 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
                     yield from emit()
         yield from emit()
 
-    return docs.mapInArrow(spill, "shard int, lang binary, term binary, body binary")
-
-
-def merged(chunks):
-    """All postings in order from ``chunks`` (language, term, body) that come in the order of their first posting."""
-    heap: list = []
-    for number, (lang, term, body) in enumerate(chunks):
-        # No later chunk begins before this one: what lies before its first posting is complete.
-        while heap and heap[0][:2] < (lang, term):
-            *_, k, rest, row = heap[0]
-            yield row
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (*following[:2], k, rest, following))
-        rest = _rows(body)
-        row = next(rest)
-        heapq.heappush(heap, (*row[:2], number, rest, row))
-    while heap:
-        *_, k, rest, row = heap[0]
-        yield row
-        following = next(rest, None)
-        if following is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (*following[:2], k, rest, following))
+    return docs.mapInArrow(spill, "shard int, first binary, body binary")
+
+
+def merged(chunks, known: dict[str, int]):
+    """Lists of cuts, each list with all postings of the keys it holds, from chunks (first key, body) in the order of their keys.
+
+    A heap has the open chunks by their next key. When a chunk comes in, what lies before it is complete and leaves.
+    """
+    heap: list[tuple[bytes, int, Chunk, int]] = []
+    cuts, size = [], 0
+    for number, (first, body) in enumerate(chain(chunks, [(None, b"")])):
+        while heap and (first is None or heap[0][0] < first):
+            _, k, chunk, a = heapq.heappop(heap)
+            b, cut = chunk.cut(a, first)
+            cuts.append(cut)
+            size += b - a
+            if b < len(chunk.keys):
+                heapq.heappush(heap, (chunk.key(b), k, chunk, b))
+        if size >= MERGE_POSTINGS or first is None and size:
+            yield cuts
+            cuts, size = [], 0
+        if first is not None:
+            heapq.heappush(heap, (first, number, Chunk(body, known), 0))
+
+
+def summed(cuts: list, names: list[str], min_docs: int) -> pa.RecordBatch:
+    """Frequencies of the keys in ``cuts`` that ``min_docs`` documents hold."""
+    keys = pa.concat_arrays([c[0] for c in cuts])
+    source, n, docs = (np.concatenate(x) for x in list(zip(*cuts, strict=True))[1:])
+    order = pc.sort_indices(keys)
+    keys, at = keys.take(order), order.to_numpy()
+    new = np.r_[True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)]
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    enough = np.add.reduceat(docs[at], starts) >= min_docs
+    stay = enough[group]
+    term = (np.cumsum(enough) - 1)[group[stay]]
+    pair, inverse = np.unique(term * len(names) + source[at][stay], return_inverse=True)
+    count, total = np.zeros(len(pair), np.int64), np.zeros(int(enough.sum()), np.int64)
+    np.add.at(count, inverse, n[at][stay])
+    np.add.at(total, term, n[at][stay])
+    term, source = np.divmod(pair, len(names))
+    parts_ = [k.split(b" ", 1) for k in keys.take(pa.array(starts[enough])).to_pylist()]
+    lang = pa.array([bytes.fromhex(x.decode()) for x, _ in parts_], pa.binary())
+    word = pa.array([x for _, x in parts_], pa.binary())
+    first = np.r_[True, term[1:] != term[:-1]][: len(term)]
+    return pa.RecordBatch.from_arrays(
+        [lang.take(pa.array(term)), word.take(pa.array(term)), pa.array(names, pa.string()).take(pa.array(source)), pa.array(count),
+         pa.array(total[term]), pa.array(first)], names=["lang", "term", "source", "n", "total", "first"],
+    )
 
 
 def frequencies(docs: DataFrame, shards: int | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -138,39 +195,20 @@ def frequencies(docs: DataFrame, shards: int | None = None, min_docs: int = MIN_
     """
     shards = shards or 4 * parts(docs.sparkSession)
     # The chunks of a shard are sorted by Spark, on disk where they are many.
-    sorted_ = runs(docs, shards).repartition("shard").sortWithinPartitions("shard", "lang", "term")
+    sorted_ = runs(docs, shards).repartition("shard").sortWithinPartitions("shard", "first")
 
     def merge(batches):
         def chunks():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "term", "body")), strict=True)
-
-        def postings():
-            for _, own in groupby(chunks(), itemgetter(0)):
-                yield from merged(c[1:] for c in own)
-
-        kept: list = []
-        for (lang, term), rows in groupby(postings(), itemgetter(0, 1)):
-            n, held = Counter(), 0
-            for _, _, source, k, documents in rows:
-                n[source] += k
-                held += documents
-            if held >= min_docs:
-                total = sum(n.values())
-                kept += [(lang, term, s, k, total, i == 0) for i, (s, k) in enumerate(n.items())]
-            if len(kept) >= 10_000:
-                yield batch_of(kept)
-                kept = []
-        if kept:
-            yield batch_of(kept)
-
-    def batch_of(rows):
-        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-        arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "source", "n", "total", "first"])
-
-    found = sorted_.mapInArrow(merge, "lang binary, term binary, source binary, n long, total long, first boolean")
-    return found.select(*[F.col(c).cast("string").alias(c) for c in ("lang", "term", "source")], "n", "total", "first")
+            for batch in slices(batches):
+                yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "body")), strict=True)
+
+        for _, own in groupby(chunks(), itemgetter(0)):
+            known: dict[str, int] = {}
+            for cuts in merged((c[1:] for c in own), known):
+                yield summed(cuts, list(known), min_docs)
+
+    found = sorted_.mapInArrow(merge, "lang binary, term binary, source string, n long, total long, first boolean")
+    return found.select(F.col("lang").cast("string"), F.col("term").cast("string"), "source", "n", "total", "first")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -198,55 +236,77 @@ def corrections(found: DataFrame) -> DataFrame:
         return (p - q) * (p - q) // q
 
     def extra(p, z, a=slice(None)):
-        """For all pairs of the rows a with all: gap less what the histograms have put there."""
-        pa_, za = p[a, None], z[a, None]
-        return gap(pa_, p[None, :]) - gap(pa_, z[None, :]) - gap(za, p[None, :]) + gap(za, z[None, :])
-
-    names = ["lang", "source", "item", "value"]
+        """terms x sources (of them a) x sources: the gap of each pair less what the histograms have put there."""
+        x, y, pa_, za = p[:, None, :], z[:, None, :], p[:, a, None], z[:, a, None]
+        return gap(pa_, x) - gap(pa_, y) - gap(za, x) + gap(za, y)
 
     def rows_of(lang, a, b, values):
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(values, pa.int64())], names=names
+            [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(values, pa.int64())],
+            names=["lang", "source", "item", "value"],
         )
 
+    def terms(batches):
+        """Tables of whole terms of one language, and where each term begins."""
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                own = pa.Table.from_batches([batch])
+                held = own if held is None else pa.concat_tables([held, own])
+            if held is None or not len(held):
+                continue
+            held = held.combine_chunks()
+            lang, term = (held.column(c).combine_chunks() for c in ("lang", "term"))
+            other = pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[True, other | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)])
+            # The last term may go on in the next batch.
+            end = len(held) if batch is None else int(new[-1])
+            edges = [0, *(np.flatnonzero(other) + 1).tolist(), len(held)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                b = min(b, end)
+                if a < b:
+                    yield lang[a].as_py(), held[a:b], np.append(new[(new >= a) & (new < b)] - a, b - a)
+            held = held[end:]
+
     def run(batches):
-        held: dict[str, tuple[dict, np.ndarray]] = {}
+        now, codes, sums = None, {}, None
 
-        def flush(lang):
-            codes, sums = held.pop(lang)
+        def flush():
             known = list(codes)
             for i, name in enumerate(known):
                 at = np.flatnonzero(sums[i, : len(known)])
                 if len(at):
-                    yield rows_of(lang, [name] * len(at), [known[j] for j in at.tolist()], sums[i, at])
-
-        def terms():
-            columns = (zip(*(b.column(c).to_pylist() for c in ("lang", "term", "source", "p", "zero")), strict=True) for b in batches)
-            return groupby((r for c in columns for r in c), itemgetter(0, 1))
-
-        for (lang, _), rows in terms():
-            _, _, sources, p, z = zip(*rows, strict=True)
-            if len(sources) < 2:
-                continue
-            p, z = np.array(p, np.int64), np.array(z, np.int64)
-            if len(sources) > MATRIX:
-                for i, name in enumerate(sources):
-                    yield rows_of(lang, [name] * len(sources), list(sources), extra(p, z, slice(i, i + 1))[0])
+                    yield rows_of(now, [name] * len(at), [known[j] for j in at.tolist()], sums[i, at])
+
+        for lang, own, starts in terms(batches):
+            source = own.column("source").combine_chunks().dictionary_encode()
+            names = source.dictionary.to_pylist()
+            p, z = (own.column(c).to_numpy() for c in ("p", "zero"))
+            if len(names) > MATRIX:
+                # Too many sources for a matrix: term by term, and row by row.
+                which = source.indices.to_numpy()
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    here = [names[i] for i in which[a:b].tolist()]
+                    for i, name in enumerate(here if b - a > 1 else []):
+                        yield rows_of(lang, [name] * (b - a), here, extra(p[a:b][None], z[a:b][None], slice(i, i + 1))[0, 0])
                 continue
-            codes, sums = held.setdefault(lang, ({}, np.zeros((16, 16), np.int64)))
-            if len(codes.keys() | set(sources)) > MATRIX or len(held) > 64:
-                for other in list(held):
-                    yield from flush(other)
-                codes, sums = held.setdefault(lang, ({}, np.zeros((16, 16), np.int64)))
-            at = np.array([codes.setdefault(s, len(codes)) for s in sources])
+            if lang != now or len(codes.keys() | set(names)) > MATRIX:
+                yield from flush()
+                now, codes, sums = lang, {}, np.zeros((0, 0), np.int64)
+            at = np.array([codes.setdefault(s, len(codes)) for s in names])[source.indices.to_numpy()]
             if len(codes) > len(sums):
                 wider = np.zeros((min(MATRIX, 2 * len(codes)),) * 2, np.int64)
                 wider[: len(sums), : len(sums)] = sums
                 sums = wider
-                held[lang] = codes, sums
-            sums[np.ix_(at, at)] += extra(p, z)
-        for lang in list(held):
-            yield from flush(lang)
+            size = np.diff(starts)
+            for k in np.unique(size[size > 1]).tolist():
+                places = starts[:-1][size == k][:, None] + np.arange(k)
+                some = max(1, CELLS // (k * k))
+                for x in range(0, len(places), some):
+                    here = places[x : x + some]
+                    pair = at[here][:, :, None] * len(sums) + at[here][:, None, :]
+                    np.add.at(sums.reshape(-1), pair.ravel(), extra(p[here], z[here]).ravel())
+        yield from flush()
 
     sums = sorted_.mapInArrow(run, "lang string, source string, item string, value long")
     return sums.where(F.col("source") != F.col("item")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -124,7 +124,7 @@ def differences(rows, report):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block", "chunk", "matrix"), [(400_000, 4096, 1024), (40, 7, 3)])
+@pytest.mark.parametrize(("block", "chunk", "matrix"), [(600_000, 4096, 1024), (40, 7, 3)])
 def test_audit(spark, monkeypatch, block, chunk, matrix):
     """One run a task, and many short runs; sums in one matrix, and in many pieces."""
     for name, value in (("BLOCK_POSTINGS", block), ("CHUNK", chunk), ("MATRIX", matrix)):
@@ -149,15 +149,30 @@ def test_large_counts_do_not_overflow(spark):
     assert share == 1 + 10**9 * (20_000_000_000 + 1) // (30_000_000_000 + 7)
 
 
-def test_runs_merge_in_order():
-    """Chunks that overlap, in the order of their first posting; a run may hold one term several times over."""
+def test_runs_merge_in_order(monkeypatch):
+    """Chunks of several runs that overlap: each list of cuts has all postings of its keys, and lists come in order."""
+    monkeypatch.setattr(divergence, "CHUNK", 7)
+    monkeypatch.setattr(divergence, "MERGE_POSTINGS", 20)
     rng = random.Random(9)
-    runs = [sorted((b"x", str(rng.randint(0, 50)).encode(), b"s", rng.randint(1, 9), 1) for _ in range(60)) for _ in range(5)]
-    divided = [c[1:] for run in runs for a in range(0, 60, 7) for c in divergence._chunks(0, run[a : a + 7])]
-    divided.sort(key=lambda c: c[:2])
-    assert sorted(divergence.merged(divided)) == sorted(r for run in runs for r in run)
-    order = [r[:2] for r in divergence.merged(divided)]
-    assert order == sorted(order)
+    chunks, want = [], collections.Counter()
+    for _ in range(5):
+        block = divergence.Block()
+        for _ in range(30):
+            lang, source = rng.choice(["x", "é", ""]), rng.choice("st")
+            terms = rng.choices(["a", "ab", "b", "ba", "é", "zz"], k=4)
+            block.add(lang, source, " ".join(terms).upper().encode())
+            want.update((lang.encode().hex().encode() + b" " + t.upper().encode().lower(), source) for t in terms)
+        chunks += [c[1:] for c in block.run(1)]
+        assert block.size == 0 and not list(block.run(1))
+    known, found, last = {}, collections.Counter(), b""
+    for cuts in divergence.merged(sorted(chunks, key=lambda c: c[0]), known):
+        keys = [k for c in cuts for k in c[0].to_pylist()]
+        assert min(keys) > last
+        last = max(keys)
+        for k, s, n, docs in (r for c in cuts for r in zip(c[0].to_pylist(), *(x.tolist() for x in c[1:]), strict=True)):
+            found[k, list(known)[s]] += n
+            assert 1 <= docs <= n
+    assert found == want
 
 
 def verdicts(pages, rules, default="allow"):
