@@ -85,3 +85,27 @@ def page(df: DataFrame, order: Sequence[str | Column], offset: int, limit: int)
 def sample_rows(df: DataFrame, order: Sequence[str | Column], n: int = 5) -> DataFrame:
     """First ``n`` rows in key order, for a report."""
     return df.orderBy(*order).limit(n)
+
+
+def running_within(df: DataFrame, keys: Sequence[str], order: str, value: str, total: str, following: str) -> DataFrame:
+    """Per row the sum of ``value`` over the rows of its key up to it, and the next row's ``order`` (null for the last).
+
+    ``order`` is distinct within a key. Rows are range-partitioned by key and order, so one key may be many partitions;
+    what a key carries from one partition to the next is one line, and only for the keys that go over a border.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(order)
+    local = ranged.withColumn("_sum", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    local = local.withColumn("_next", F.lead(order).over(inside))
+    pieces = ranged.groupBy("_part", *keys).agg(F.sum(value).alias("_all"), F.min(order).alias("_first"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    carried = pieces.select(
+        "_part", *keys, F.count("*").over(Window.partitionBy(*keys)).alias("_pieces"),
+        F.coalesce(F.sum("_all").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lead("_first").over(along).alias("_beyond"),
+    ).where("_pieces > 1").drop("_pieces")
+    # At most two lines a partition.
+    return local.join(F.broadcast(cut_lineage(carried)), ["_part", *keys], "left").withColumns({
+        total: F.col("_sum") + F.coalesce("_before", F.lit(0)), following: F.coalesce("_next", "_beyond"),
+    }).drop("_part", "_sum", "_next", "_before", "_beyond")

@@ -139,16 +139,70 @@ def _clustering(spark, sf):
     return de.density_clusters(v.vectors(spark, sf).select("id", "embedding"), 10, 5)
 
 
-@query("v06_density_clusters")
+# Prim's tree over mutual reachability, then its merges one by one: lists hold the state of all points.
+MERGES_SQL = """WITH RECURSIVE
+    e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL),
+    d AS (SELECT a.i AS i, b.i AS j, round(list_distance(a.x, b.x), 6) AS d FROM e a JOIN e b ON a.i <> b.i),
+    core AS (SELECT i, max(d) AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r <= {m} GROUP BY i),
+    m AS (SELECT d.i, list(greatest(d.d, a.core, b.core) ORDER BY d.j) AS ws, list(d.j ORDER BY d.j) AS js
+          FROM d JOIN core a ON d.i = a.i JOIN core b ON d.j = b.i GROUP BY d.i),
+    full_rows AS MATERIALIZED (SELECT i, list_concat(list_concat(ws[1:i - 1], ['infinity'::DOUBLE]), ws[i:len(ws)]) AS row FROM m),
+    prim AS (
+        SELECT 0 AS step, 1::BIGINT AS pt, 0::BIGINT AS src, 0::DOUBLE AS w, row AS best, list_transform(row, lambda x: 1::BIGINT) AS via, [1::BIGINT] AS done
+        FROM full_rows WHERE i = 1
+        UNION ALL
+        SELECT p.step + 1, p.pick, p.via[p.pick], p.best[p.pick],
+               list_transform(p.best, lambda x, k: CASE WHEN list_contains(p.done, k) OR k = p.pick THEN 'infinity'::DOUBLE ELSE least(x, r.row[k]) END),
+               list_transform(p.via, lambda x, k: CASE WHEN r.row[k] < p.best[k] THEN p.pick ELSE x END),
+               list_append(p.done, p.pick)
+        FROM (SELECT *, list_position(best, list_min(best))::BIGINT AS pick FROM prim) p JOIN full_rows r ON r.i = p.pick
+        WHERE len(p.done) < len(p.best)),
+    tree AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, least(pt, src), greatest(pt, src)) AS step, least(pt, src) AS u, greatest(pt, src) AS v, w FROM prim WHERE step > 0),
+    merges AS (
+        SELECT 0::BIGINT AS step, NULL::DOUBLE AS w, -1 AS x_node, -1 AS y_node, -1 AS node, 0 AS total, 0 AS made,
+               list_transform(range(1, 1 + (SELECT count(*) FROM e)), lambda i: {'c': i, 'n': -1, 'w': 0::DOUBLE}) AS pts,
+               list_transform(range(1, 1 + (SELECT count(*) FROM e)), lambda i: {'s': 1, 'n': -1}) AS comps
+        UNION ALL
+        SELECT q.step + 1, q.nw, q.nx, q.ny, q.nn, q.ns, q.made + CASE WHEN q.fresh THEN 1 ELSE 0 END,
+               list_transform(q.pts, lambda p: CASE WHEN p.c <> q.x AND p.c <> q.y THEN p
+                   WHEN q.nn >= 0 AND (p.c = q.x AND q.nx < 0 OR p.c = q.y AND q.ny < 0) THEN {'c': q.x, 'n': q.nn, 'w': q.nw}
+                   ELSE {'c': q.x, 'n': p.n, 'w': p.w} END),
+               list_transform(q.comps, lambda s, k: CASE WHEN k = q.x THEN {'s': q.ns, 'n': q.nn} ELSE s END)
+        FROM (SELECT *, CASE WHEN nx >= 0 AND ny >= 0 OR nx < 0 AND ny < 0 AND ns >= {s} THEN made WHEN nx >= 0 THEN nx WHEN ny >= 0 THEN ny ELSE -1 END AS nn,
+                     nx >= 0 AND ny >= 0 OR nx < 0 AND ny < 0 AND ns >= {s} AS fresh
+              FROM (SELECT g.*, t.w AS nw, g.pts[t.u].c AS x, g.pts[t.v].c AS y, g.comps[g.pts[t.u].c].n AS nx, g.comps[g.pts[t.v].c].n AS ny,
+                           g.comps[g.pts[t.u].c].s + g.comps[g.pts[t.v].c].s AS ns FROM merges g JOIN tree t ON t.step = g.step + 1)) q),
+    nodes AS (SELECT node, max(total) AS size FROM merges WHERE node >= 0 GROUP BY node),
+    edges AS (SELECT node AS parent, unnest([x_node, y_node]) AS child, w FROM merges WHERE x_node >= 0 AND y_node >= 0)"""
+MERGES_SQL = MERGES_SQL.replace("{m}", "5").replace("{s}", "10")
+
+
+@query("v06_density_clusters", MERGES_SQL + """,
+    left_at AS (SELECT i, p.n AS node, p.w AS w FROM (SELECT unnest(range(1, 1 + len(pts))) AS i, unnest(pts) AS p FROM merges
+                ORDER BY step DESC LIMIT (SELECT count(*) FROM e))),
+    owned AS (SELECT e.vec_id AS id, l.w, l.node FROM left_at l JOIN e ON e.i = l.i
+              WHERE node IN (SELECT child FROM edges) AND node NOT IN (SELECT parent FROM edges)),
+    named AS (SELECT node, row_number() OVER (ORDER BY min(id)) - 1 AS cluster_id, 1 / min(w) AS top FROM owned GROUP BY node)
+    SELECT v.vec_id AS id, CAST(coalesce(n.cluster_id, -1) AS INTEGER) AS cluster_id,
+           CASE WHEN n.node IS NULL THEN 0.0::DOUBLE WHEN o.w = 0 THEN 1.0 ELSE least(1 / o.w, n.top) / n.top END AS cluster_prob
+    FROM embeddings v LEFT JOIN owned o ON o.id = v.vec_id LEFT JOIN named n ON n.node = o.node""")
 def _(spark, sf):
     return _clustering(spark, sf).labels
 
 
-@query("v06_condensed_tree")
+@query("v06_condensed_tree", MERGES_SQL + """
+    SELECT CAST(parent AS BIGINT) AS parent_cluster_id, CAST(child AS BIGINT) AS child_cluster_id,
+           CASE WHEN w = 0 THEN 'infinity'::DOUBLE ELSE 1 / w END AS lambda_val, CAST(size AS BIGINT) AS child_size
+    FROM edges JOIN nodes ON nodes.node = edges.child""")
 def _(spark, sf):
     return _clustering(spark, sf).tree
 
 
+@query("v06_spanning_tree_weight", MERGES_SQL + " SELECT count(*) AS n_edges, round(sum(w), 4) AS weight FROM tree")
+def _(spark, sf):
+    return _clustering(spark, sf).mst.agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 4).alias("weight"))
+
+
 # The spanning tree has n - 1 edges; SQL can say that much about it.
 @query("v06_spanning_tree_size", "SELECT count(*)-1 AS n_edges FROM embeddings")
 def _(spark, sf):
