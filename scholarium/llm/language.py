@@ -10,21 +10,24 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarium.llm.common import column, fold
-from scholarium.llm.sampling import bounded
+from scholarium.llm.sampling import SCALE
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Labelled documents that the model is fitted on, at most.
+#: Labelled documents that the model is fitted on, at most, dealt evenly among the languages.
 SAMPLE_DOCS = 20_000
-#: Entries (language, trigram) of the model, at most.
+#: Entries (language, trigram) of the model, at most, dealt evenly among the languages: the most frequent of each.
 MAX_GRAMS = 400_000
+#: Words whose scores are worked on at once.
+BATCH_WORDS = 1 << 17
 SWITCH = 12.0
 CACHE_WORDS = 300_000
 #: A language uses a script if at least this share of its words are in it.
@@ -43,6 +46,20 @@ SCRIPTS = [
 STARTS = [a for a, _ in SCRIPTS]
 
 
+#: UTF-8 of texts in which letters are those of ASCII and from U+00C0 to U+00FF, but for two signs; all but letters becomes a space.
+PLAIN = bytes([*range(128), *range(0x80, 0xC0), 0xC3])
+TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Runs of letters in lower case, in UTF-8."""
+    lower = text.lower()
+    raw = lower.encode("utf-8", "surrogatepass")
+    if raw.translate(None, PLAIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+        return [w.encode("utf-8", "surrogatepass") for w in LETTERS.findall(lower)]
+    return raw.translate(TO_SPACE).split()
+
+
 def script(word: str) -> str:
     return SCRIPTS[bisect.bisect_right(STARTS, ord(word[0])) - 1][1]
 
@@ -69,14 +86,16 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
 
-    def _learn(self, word: str) -> int:
+    def _learn(self, word: bytes) -> None:
+        text = word.decode("utf-8", "surrogatepass")
         row = np.zeros(len(self.langs))
-        for g in grams(word):
-            row = row + self.logs.get(g, self.rare)
-        allowed = np.array([script(word) in self.scripts[x] for x in self.langs])
+        for g in grams(text):
+            # A trigram that no language has tells nothing about any.
+            row = row + self.logs.get(g, 0.0)
+        allowed = np.array([script(text) in self.scripts[x] for x in self.langs])
         if allowed.any():
             # Scores relative to the best; a language without the script is far behind.
             row = np.where(allowed, row - row[allowed].max(), -50.0)
@@ -87,30 +106,47 @@ class Model:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[n] = np.maximum(row, -50.0)
         self.place[word] = n
-        return n
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, words: list[bytes]) -> np.ndarray:
         """Words x languages."""
         if len(self.place) > CACHE_WORDS:
             self._forget()
-        place = self.place
-        at = [place[w] if w in place else self._learn(w) for w in words]
-        return self.table[at]
+        for w in set(words).difference(self.place):
+            self._learn(w)
+        return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
-    def path(self, words: list[str], switch: float = SWITCH) -> np.ndarray:
+    def path(self, words: list[bytes], switch: float = SWITCH) -> np.ndarray:
         """The language number of each word on the best path; ties go to the language that comes first."""
         return viterbi(self.scores(words), switch)
 
 
+def single(scores: np.ndarray, lengths: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, of so many words each, the language with the highest sum, and whether to stay with it is surely the best path.
+
+    It is where no run of words gains more than one switch costs, even if each word took the best of all other languages:
+    a path that leaves the language does so for some runs of words, and pays a switch for each.
+    """
+    starts = np.cumsum(lengths) - lengths
+    main = np.add.reduceat(scores, starts, axis=0).argmax(axis=1)
+    if scores.shape[1] == 1:
+        return main, np.ones(len(lengths), bool)
+    rows, own = np.arange(len(scores)), np.repeat(main, lengths)
+    others = scores.copy()
+    others[rows, own] = -np.inf
+    gain = np.cumsum(others.max(axis=1) - scores[rows, own])
+    # Each text's sums lie below those of all earlier ones, so that running minima begin anew with it.
+    fall = np.repeat(np.arange(len(lengths)) * (np.ptp(gain) + 1.0), lengths)
+    before = np.concatenate([[0.0], gain[:-1]]) - fall
+    best = np.maximum.reduceat(gain - fall - np.minimum.accumulate(before), starts)
+    return main, best <= switch - 1e-6
+
+
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """Labels that maximise the sum of scores less ``switch`` for each change."""
     n, k = scores.shape
-    main = int(scores.sum(axis=0).argmax())
-    # No span of another language gains more than one switch costs: then staying with the best one is optimal.
-    run = np.cumsum(scores - scores[:, main : main + 1], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros(k), run[:-1]]), axis=0)
-    if (run - low).max(initial=0.0) <= switch:
-        return np.full(n, main)
+    main, sure = single(scores, np.array([n]), switch)
+    if sure[0]:
+        return np.full(n, main[0])
     best, back = scores[0].copy(), np.zeros((n, k), np.int32)
     stay = np.arange(k)
     for t in range(1, n):
@@ -129,7 +165,15 @@ def train(docs: DataFrame, limit: int = SAMPLE_DOCS, key: str = "doc_id", text:
     """Fit on at most about ``limit`` rows with text and language whose crc32(id as text) mod 4 is not 2."""
     rows = docs.select(column(docs, key).alias("id"), column(docs, text).alias("text"), column(docs, lang).cast("string").alias("lang"))
     rows = rows.where((fold("id", 4) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample = bounded(rows, limit, "id")
+    # Every language gives as many rows as the limit allows; small ones give all.
+    held = sorted((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect())
+    quota, left = 0.0, float(limit)
+    for i, (n, _) in enumerate(held):
+        quota = left / (len(held) - i)
+        left -= min(n, quota)
+    size = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    spot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SCALE)) * F.col("size")
+    sample = rows.join(size, "lang").where(spot < F.lit(SCALE * quota))
 
     def count(batches):
         n: dict[str, Counter] = {}
@@ -147,7 +191,8 @@ def train(docs: DataFrame, limit: int = SAMPLE_DOCS, key: str = "doc_id", text:
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.col("gram").startswith("script ").desc(), F.col("n").desc(), "lang", "gram").limit(MAX_GRAMS).collect()
+    order = Window.partitionBy("lang").orderBy(F.col("gram").startswith("script ").desc(), F.col("n").desc(), "gram")
+    found = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_GRAMS // max(1, len(held))).collect()
     langs = sorted({r.lang for r in found})
     used: dict[str, Counter] = {x: Counter() for x in langs}
     for r in found:
@@ -157,13 +202,29 @@ def train(docs: DataFrame, limit: int = SAMPLE_DOCS, key: str = "doc_id", text:
     return Model(langs, {(r.lang, r.gram): r.n for r in found if not r.gram.startswith("script ")}, scripts)
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """The language with most letters on the best path and its share of them; ``und`` and 0 without letters."""
-    words = LETTERS.findall((text or "").lower())
-    if not words or not model.langs:
-        return "und", 0.0
-    path = model.path(words)
-    letters = np.bincount(path, [len(w) for w in words], len(model.langs))
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Of each text the language with most letters on the best path and its share of them; ``und`` and 0 without letters."""
+    out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+    held, n = [], 0
+    for i, text in enumerate(texts):
+        words = words_of(text) if text else []
+        if words and model.langs:
+            held.append((i, words))
+            n += len(words)
+        if n >= BATCH_WORDS or held and i + 1 == len(texts):
+            scores = model.scores(list(chain.from_iterable(w for _, w in held)))
+            lengths = np.array([len(w) for _, w in held])
+            a = 0
+            for (at, own), main, sure in zip(held, *single(scores, lengths, SWITCH), strict=True):
+                b = a + len(own)
+                out[at] = (model.langs[main], 1.0) if sure else _share(model, own, viterbi(scores[a:b], SWITCH))
+                a = b
+            held, n = [], 0
+    return out
+
+
+def _share(model: Model, words: list[bytes], path: np.ndarray) -> tuple[str, float]:
+    letters = np.bincount(path, [len(w.decode("utf-8", "surrogatepass")) for w in words], len(model.langs))
     top = int(letters.argmax())
     return model.langs[top], float(letters[top] / letters.sum())
 
@@ -175,7 +236,7 @@ def languages(docs: DataFrame, model: Model | None = None, key: str = "doc_id",
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        out = [predict(shared.value, t) for t in texts.to_pylist()]
+        out = predict(shared.value, texts.to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["lang", "score"]
         )
@@ -200,7 +261,7 @@ def language_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str
                 found = list(LETTERS.finditer(t or ""))
                 if not found or not own.langs:
                     continue
-                path = own.path([m.group().lower() for m in found])
+                path = own.path([m.group().lower().encode("utf-8", "surrogatepass") for m in found])
                 cuts = np.flatnonzero(np.diff(path)) + 1
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(found)], strict=True):
                     at.append(i)
