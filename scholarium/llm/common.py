@@ -51,10 +51,43 @@ def step(df: DataFrame) -> DataFrame:
     Steps hold texts, word numbers and sketches, which take much less room under zstd than under the default.
     """
     path = scratch_path(df.sparkSession, "step")
+    _written.append(path)
+    return _stored(df, path)
+
+
+def kept_step(df: DataFrame) -> DataFrame:
+    """As ``step``, but ``release`` leaves it."""
+    return _stored(df, scratch_path(df.sparkSession, "kept"))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the steps that this process has written and not yet removed.
+_written: list[str] = []
+
+
+def steps() -> list[str]:
+    """The folders of all steps there are."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove steps: whatever reads them has itself been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        _written.remove(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; else joins find their own way."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that ``df`` does not use."""
     out = []

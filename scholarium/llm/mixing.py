@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarium.llm.common import column, free_names, step
+from scholarium.llm.common import column, free_names, small, step
 from scholarium.operators.ordering import number_rows
 
 #: No row is repeated more often than this.
@@ -21,6 +21,8 @@ MAX_EPOCHS = 3
 BUCKET_ROWS = 2000
 #: Passes over the rows that are left, each filling the gap with rows no larger than it. A last one may add one row.
 PASSES = 3
+#: Rated rows that are shared with all tasks (some 16 bytes each), so that texts do not move; more are joined.
+RATED_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -190,7 +192,8 @@ def mixed_rows(
     if quality is None:
         out = out.withColumn(r_weight, F.lit(1.0))
     else:
-        out = out.join(quality.select(F.col("id").alias(r_id), F.col("weight").alias(r_weight)), column(docs, key).cast("long") == F.col(r_id), "left").drop(r_id)
+        rated = small(step(quality.select(F.col("id").alias(r_id), F.col("weight").alias(r_weight))), RATED_ROWS)
+        out = out.join(rated, column(docs, key).cast("long") == F.col(r_id), "left").drop(r_id)
     rules = rules.select(F.col("source").alias(r_source), F.col("epochs").alias(r_epochs), F.col("cuts").alias(r_cuts))
     out = out.join(rules, F.col(f"`{source}`").cast("string").eqNullSafe(F.col(r_source)))
     id_ = F.col(f"`{key}`").cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from scholarium.llm import bloom
 from scholarium.llm.alignment import distance
-from scholarium.llm.common import column, free_names, step
+from scholarium.llm.common import column, free_names, release, step, steps
 from scholarium.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -292,7 +292,9 @@ def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
     leaders = step(members.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "a"))
     met = members.join(leaders, "band").where(F.col("row") != F.col("a"))
     tried = step(near_pairs(step(met.select("a", F.col("row").alias("b")).distinct()), words))
-    roots = components(tried.where("near").select("a", "b"))
+    before = len(steps())
+    roots = step(components(tried.where("near").select("a", "b")))
+    release(tried.sparkSession, steps()[before:-1])
     # Bands whose leader is far from a member, and not linked with it by others, are not finished.
     sides = tried.where(~F.col("near")).select("a", "b", F.col("a").alias("comp"))
     sides = _renamed(sides, roots).select("a", "b", F.col("comp").alias("left"), F.col("b").alias("comp"))
@@ -304,7 +306,12 @@ def near_components(texts: DataFrame, words: DataFrame) -> DataFrame:
     state = step(state.select("bands", "row", "n", "comp", "sketch"))
     named = state.select(F.col("row").alias("a"), F.col("row").alias("b"))
     more = step(_late_links(state.join(_only(words, named), "row")))
-    return roots if more.isEmpty() else components(tried.where("near").select("a", "b").unionByName(more))
+    if more.isEmpty():
+        return roots
+    before = len(steps())
+    roots = step(components(tried.where("near").select("a", "b").unionByName(more)))
+    release(tried.sparkSession, steps()[before:-1])
+    return roots
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,6 +321,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     smallest id and the row of that id stays (null ids come last; of repeated rows the first). Texts without words
     compare by their characters; null and empty texts are equal to each other.
     """
+    before = len(steps())
     rows = step(sketched(docs, key, text))
     firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first")))
     texts = step(rows.select("row", "n", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
@@ -322,6 +330,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         rows.select("id", "row", "seq").join(firsts, "seq").join(roots, "first", "left")
         .select("id", "row", "seq", F.coalesce("root", "first").alias("root"))
     )
+    release(docs.sparkSession, steps()[before:-1])
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     # Written, so that the join below meets two plain tables and a large class can be split.
     classes = step(named.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("class_size")))
@@ -332,16 +341,16 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their columns unchanged."""
-    mark, again = free_names(docs, "mark", "again")
+    tag, again = free_names(docs, "mark", "again")
     # A row is recognised by all its columns; rows that agree in all of them are one document.
     names = [column(docs, c) for c in docs.columns]
     own = F.concat_ws("-", F.xxhash64(*names), F.xxhash64(F.lit(1), *names))
-    marked = docs.withColumn(mark, own)
-    classes = step(near_classes(marked.select(F.struct(column(docs, key).alias("k"), F.col(mark).alias("m")).alias("id"), column(docs, text).alias("text")), "id", "text"))
-    keep = step(classes.where("kept").select(F.col("id.m").alias(mark)))
+    marked = docs.withColumn(tag, own)
+    classes = step(near_classes(marked.select(F.struct(column(docs, key).alias("k"), F.col(tag).alias("m")).alias("id"), column(docs, text).alias("text")), "id", "text"))
+    keep = step(classes.where("kept").select(F.col("id.m").alias(tag)))
     repeated = classes.groupBy(F.col("id.m").alias(again)).agg(F.count("*").alias("c")).where("c > 1").select(again)
-    out = marked.join(keep, mark, "left_semi")
+    out = marked.join(keep, tag, "left_semi")
     if not repeated.isEmpty():
-        twins = out.join(repeated, F.col(mark) == F.col(again), "left_semi").dropDuplicates([mark])
-        out = out.join(repeated, F.col(mark) == F.col(again), "left_anti").unionByName(twins)
+        twins = out.join(repeated, F.col(tag) == F.col(again), "left_semi").dropDuplicates([tag])
+        out = out.join(repeated, F.col(tag) == F.col(again), "left_anti").unionByName(twins)
     return out.select(*docs.columns)

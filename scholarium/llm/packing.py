@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarium.llm.common import column, step
+from scholarium.llm.common import column, small, step
 from scholarium.llm.tokens import encode, id_type
 
 #: First level of the running sum over sources.
 SOURCE_BUCKETS = 1024
+#: Rows of the plan that are shared with all tasks (some 60 bytes each); a longer plan is joined.
+PLAN_ROWS = 1_000_000
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, key: str, text: str, source: str) -> DataFrame:
@@ -113,7 +115,8 @@ def pack(
     queue of its own; repeated rows are packed one by one. An empty table gives no piece.
     """
     tokens = step(tokenised(docs, tokenizer, end_id, key, text, source))
-    plan = queues(tokens)
+    # A row for each source in each partition: ids need not move to meet it.
+    plan = small(step(queues(tokens)), PLAN_ROWS)
     joined = tokens.join(
         plan, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("part") == F.col("q_part"))
     ).select("id", (F.col("base") + F.col("before")).alias("at"), "n", "lo", "hi", "total", "ids")

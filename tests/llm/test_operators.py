@@ -191,12 +191,35 @@ def test_language(spark):
 
 
 def test_viterbi_is_optimal():
+    """All paths compared, with and without the short way for texts of one language."""
     rng = np.random.default_rng(6)
-    for _ in range(200):
-        s = rng.normal(size=(6, 3)) * 3
-        value = lambda p: sum(s[i, x] for i, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: B023, E731
-        best = max(value(p) for p in np.ndindex(*(3,) * 6))
-        assert value(language.viterbi(s, 2.0).tolist()) == pytest.approx(best)
+    cases = [(rng.normal(size=(5, 3)) * rng.choice([1, 3, 9]), rng.choice([1.0, 2.0, 12.0])) for _ in range(600)]
+    # Two languages that gain less than one switch each, and more together.
+    cases.append((np.array([[-10.8, 0, -21.6], [-10.8, -21.6, 0]]), 12.0))
+    for s, switch in cases:
+        value = lambda p: sum(s[i, x] for i, x in enumerate(p)) - switch * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        best = max(value(p) for p in np.ndindex(*(3,) * len(s)))
+        assert value(language.viterbi(s, switch).tolist()) == pytest.approx(best)
+    lengths = np.array([len(s) for s, _ in cases[:200]])
+    main, sure = language.single(np.concatenate([s for s, _ in cases[:200]]), lengths, 2.0)
+    for (s, _), m, ok in zip(cases[:200], main, sure, strict=True):
+        one, own = language.single(s, np.array([len(s)]), 2.0)
+        assert (m, ok) == (one[0], own[0])
+    assert sure.any() and not sure.all()
+
+
+def test_words_and_batches_of_languages(monkeypatch):
+    """Words are those of the pattern, whatever the letters; texts in batches get what they get alone."""
+    texts = ["Ärger über ÀÉÎ×÷ß x_1 2y", "plain ASCII, it's", "кот und 漢字 ² ª", "İx\u00a0y", "", None, "12 _"]
+    for t in texts[:5]:
+        assert language.words_of(t) == [w.encode() for w in language.LETTERS.findall(t.lower())]
+    counts = {("aa", g): 5 for w in ("plain", "it") for g in language.grams(w)} | {("bb", g): 5 for g in language.grams("über")}
+    model = language.Model(["aa", "bb"], counts, {"aa": {"Latin"}, "bb": {"Latin", "Cyrillic"}})
+    want = [language.predict(model, [t])[0] for t in texts]
+    assert want[4:] == [("und", 0.0)] * 3
+    for words in (1, 4, 1000):
+        monkeypatch.setattr(language, "BATCH_WORDS", words)
+        assert language.predict(model, texts) == want
 
 
 def test_packing(docs):
@@ -297,7 +320,7 @@ def test_pipeline(spark):
     docs, seen = corpus_pipeline.table(spark, sf, "documents"), []
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.step(stage(spark, docs, sf))
+        docs = corpus_pipeline.kept_step(stage(spark, docs, sf))
         seen.append((name, docs.count()))
         assert name == "packing" or docs.columns == columns
     assert all(n > 0 for _, n in seen) and seen[0][1] >= seen[1][1] >= seen[2][1]
