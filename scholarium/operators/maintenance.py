@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarium.functions.text import TARGET_CATEGORIES, overlaps_categories
 from scholarium.operators.authors import find_or_create, sighted_authors
-from scholarium.operators.tables import insert_ignore, orphans, related_subset, without_orphans
+from scholarium.operators.tables import insert_ignore, new_rows, orphans, related_subset, without_orphans
 from scholarium.operators.versions import apply_version_summary
 from scholarium.session import cut_lineage
 
@@ -52,25 +52,30 @@ def remove_orphan_versions(versions: DataFrame, papers: DataFrame) -> tuple[Data
     return without_orphans(versions, papers, "paper_id", "id"), lost
 
 
-def ingest_core(
+def core_additions(
     records: DataFrame, papers: DataFrame, authors: DataFrame, links: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply core records to the stored tables: new papers, new authors, new links. Known keys stay."""
+    """Rows that core records add to the stored tables: new papers, new authors, new links. Known keys stay as they are."""
     sighted = sighted_authors(records.select(F.col("id").alias("paper_id"), "authors"))
     added, resolved = find_or_create(authors, sighted)
     # Dates come from the versions; a new paper starts as not withdrawn.
     fresh = records.select("id", *STORE_FIELDS, F.lit(False).alias("withdrawn"))
+    tied = resolved.select("paper_id", F.col("author_id").cast(links.schema["author_id"].dataType), "author_position")
     return (
-        insert_ignore(papers, fresh, ["id"]),
-        authors.unionByName(added.select([F.col(c).cast(authors.schema[c].dataType) for c in authors.columns])),
-        insert_ignore(
-            links,
-            resolved.select("paper_id", F.col("author_id").cast(links.schema["author_id"].dataType), "author_position"),
-            ["paper_id", "author_id"],
-        ),
+        new_rows(papers, fresh, ["id"]).select(*papers.columns),
+        added.select([F.col(c).cast(authors.schema[c].dataType) for c in authors.columns]),
+        new_rows(links, tied, ["paper_id", "author_id"]).select(*links.columns),
     )
 
 
+def ingest_core(
+    records: DataFrame, papers: DataFrame, authors: DataFrame, links: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored tables with what core records add to them."""
+    added = core_additions(records, papers, authors, links)
+    return tuple(old.unionByName(new) for old, new in zip((papers, authors, links), added, strict=True))
+
+
 def ingest_versions(version_rows: DataFrame, papers: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add versions of known papers, then refresh dates and withdrawal of the papers."""
     known = without_orphans(version_rows, papers, "paper_id", "id")

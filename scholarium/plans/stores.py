@@ -48,30 +48,34 @@ def _core_files(spark, sf) -> str:
     return path
 
 
-def _version_files(spark, sf) -> str:
-    """Orders as version records, priority and key deciding numbers, sizes and source types."""
+def _version_files(spark, sf, path: str | None = None, without: tuple[str, ...] = (), apart: int = 0) -> str:
+    """Orders as version records, priority and key deciding numbers, sizes and source types.
+
+    ``without`` leaves version marks out; version 10 is ``apart`` days later than the others.
+    """
     o = v.table(spark, sf, "orders")
     k = F.col("o_orderkey")
 
-    def one(mark, size, kind):
+    def one(mark, size, kind, days=0):
         return F.struct(
             mark.alias("_version"),
-            F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("date"),
+            F.concat(F.date_format(F.date_add("o_orderdate", days), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("date"),
             size.alias("size"),
             kind.alias("source_type"),
         )
 
     none = F.lit(None).cast("string")
     versions = F.array(
-        one(F.lit("v10"), F.lit("5kb"), F.when(k % 9 == 0, F.lit("I"))),
+        one(F.lit("v10"), F.lit("5kb"), F.when(k % 9 == 0, F.lit("I")), apart),
         one(F.lit("v2"), F.when(k % 4 == 0, F.lit("0kb")).otherwise(F.lit("7kb")), F.lit("D")),
         one(F.when(k % 2 == 0, F.lit("vX")).otherwise(none), F.lit("1kb"), none),
     )
+    delivered = F.filter(versions, lambda x: F.coalesce(~x["_version"].isin(*without), F.lit(True))) if without else versions
     out = o.select(
         F.struct(F.concat(F.lit("oai:arXiv.org:"), k.cast("string")).alias("identifier")).alias("header"),
-        F.struct(F.struct(k.cast("string").alias("id"), versions.alias("version")).alias("arXivRaw")).alias("metadata"),
+        F.struct(F.struct(k.cast("string").alias("id"), delivered.alias("version")).alias("arXivRaw")).alias("metadata"),
     )
-    path = scratch_path(spark, "version-records")
+    path = path or scratch_path(spark, "version-records")
     rec.write_records(out, path)
     return path
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scholarium.sources import records as rec
 from scholarium.sources import store
 from scholarium.streaming import ingest as ing
@@ -67,6 +69,58 @@ def test_stream_continues_and_ignores_known_keys(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("1706.10", 1), ("1706.10", 2), ("1706.10", 10)]
 
 
+def _delivery(path, **papers):
+    """A version record file; a paper's versions as (number, day, size, source type)."""
+    one = "<version version='v%d'><date>Mon, %d Jan 2020 10:00:00 GMT</date><size>%s</size><source_type>%s</source_type></version>"
+    records = "".join(
+        f"<record><header><identifier>oai:arXiv.org:{k}</identifier></header><metadata><arXivRaw><id>{k}</id>"
+        f"{''.join(one % v for v in versions)}</arXivRaw></metadata></record>"
+        for k, versions in papers.items()
+    )
+    path.write_text(f"<records>{records}</records>")
+
+
+def test_papers_follow_their_versions(spark, tmp_path):
+    from scholarium.operators.maintenance import ingest_versions
+    from scholarium.operators.tables import without_orphans
+
+    raw, root = tmp_path / "raw", str(tmp_path / "root")
+    raw.mkdir()
+    names = [c.split(" ") for c in ing.TABLES["papers"].split(", ")]
+    papers = spark.range(1, 6).select(
+        F.concat(F.lit("p"), "id").alias("id"), *[F.lit(None).cast(t).alias(n) for n, t in names[1:-1]], F.lit(False).alias("withdrawn")
+    )
+    papers.write.parquet(f"{root}/papers/batch_id=0")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def run(name=None, **delivered):
+        if name:
+            _delivery(raw / name, **delivered)
+        ing.stream_version_records(spark, str(raw), root, str(tmp_path / "c1")).awaitTermination()
+        ing.stream_paper_updates(spark, root, str(tmp_path / "c2")).awaitTermination()
+        # The batch operator over all versions stored so far says the same.
+        stored = ing.read_table(spark, root, "paper_versions")
+        empty = spark.createDataFrame([], stored.schema)
+        merged, expected = ingest_versions(stored, papers, empty)
+        assert merged.count() == stored.count() == without_orphans(stored, papers, "paper_id", "id").count()
+        got = {r["id"]: r for r in ing.current_papers(spark, root).collect()}
+        for e in expected.collect():
+            assert [got[e["id"]][c] for c in ("created", "updated", "withdrawn")] == [e["created"], e["updated"], e["withdrawn"]]
+        return {k: (r["created"] and r["created"].day, r["updated"] and r["updated"].day, r["withdrawn"], r["n_versions"]) for k, r in got.items()}
+
+    d = (1, 6, "5kb", "D")
+    first = run("a.xml", p1=[d], p2=[d, (2, 7, "0kb", "D")], p3=[(2, 9, "1kb", "D")], p9=[d])
+    assert first == {"p1": (6, 6, False, 1), "p2": (6, 7, True, 2), "p3": (9, 9, False, 1), "p4": (None, None, False, 0), "p5": (None, None, False, 0)}
+    second = run("b.xml", p1=[d, (2, 8, "3kb", "I")], p2=[(3, 12, "4kb", "D")], p3=[(1, 3, "0kb", "D")], p4=[(10, 20, "1kb", "D"), (9, 19, "0kb", "I")])
+    assert second == {"p1": (6, 8, True, 2), "p2": (6, 12, False, 3), "p3": (3, 9, False, 2), "p4": (19, 20, False, 2), "p5": (None, None, False, 0)}
+    touched = spark.read.parquet(f"{root}/paper_updates").groupBy("paper_id").count().collect()
+    assert {r["paper_id"]: r["count"] for r in touched} == {"p1": 2, "p2": 2, "p3": 2, "p4": 1, "p9": 1}
+    # Nothing new, a repeated file, and a key whose content differs: the first delivery stays.
+    assert run() == second
+    assert run("c.xml", p1=[d, (2, 8, "3kb", "I")], p2=[(3, 30, "0kb", "I")]) == second
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
 def test_snapshot_and_existence(spark, tmp_path):
     from scholarium.schemas import empty_table
 
