@@ -57,30 +57,22 @@ def pack_by_budget(batched: DataFrame, budget: int) -> DataFrame:
     """Split each batch into sub-batches that stay within a token budget.
 
     Greedy and in order; a text that is too long on its own is left out. Input columns: ``batch``,
-    ``position``, ``id``, ``tokens``. Batches have a fixed size, so a batch is folded as one array.
+    ``position``, ``id``, ``tokens`` and perhaps others. Batches have a fixed size, so a batch is walked as one array of
+    token counts; what the walk carries is the places where a sub-batch opens.
     """
-    item = F.struct("position", "id", F.col("tokens").cast("long").alias("tokens"))
-    fits = batched.where(F.col("tokens") <= budget)
-    lists = fits.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    item_type = fits.select(item.alias("x")).schema["x"].dataType.simpleString()
-    out_type = item_type.replace("struct<", "struct<sub_batch:bigint,", 1)
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"),
-        F.lit(0).cast("long").alias("sub"),
-        F.array().cast(f"array<{out_type}>").alias("done"),
-    )
+    fits = batched.where(F.col("tokens") <= budget).withColumn("tokens", F.col("tokens").cast("long"))
+    item = F.struct(*[F.col(c) for c in ["position", *[c for c in fits.columns if c not in ("batch", "position")]]])
+    lists = fits.groupBy("batch").agg(F.array_sort(F.collect_list(item), lambda x, y: (x["position"] - y["position"]).cast("int")).alias("items"))
+    nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("opened"))
 
     def step(acc, x):
         opens = acc["used"] + x["tokens"] > budget
-        sub = F.when(opens, acc["sub"] + 1).otherwise(acc["sub"])
-        placed = F.struct(
-            sub.alias("sub_batch"), x["position"].alias("position"), x["id"].alias("id"), x["tokens"].alias("tokens")
-        )
         return F.struct(
             F.when(opens, x["tokens"]).otherwise(acc["used"] + x["tokens"]).alias("used"),
-            sub.alias("sub"),
-            F.concat(acc["done"], F.array(placed)).alias("done"),
+            F.when(opens, F.concat(acc["opened"], F.array(x["position"].cast("long")))).otherwise(acc["opened"]).alias("opened"),
         )
 
-    folded = lists.select("batch", F.explode(F.aggregate("items", start, step)["done"]).alias("x"))
-    return folded.select("batch", "x.sub_batch", "x.position", "x.id", "x.tokens")
+    walked = lists.withColumn("opened", F.aggregate("items", nothing, step)["opened"])
+    placed = walked.select("batch", "opened", F.explode("items").alias("x"))
+    sub = F.size(F.filter("opened", lambda p: p <= F.col("x.position"))).cast("long")
+    return placed.select("batch", sub.alias("sub_batch"), "x.*")

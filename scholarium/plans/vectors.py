@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from scholarium.functions import text as tx
 from scholarium.operators import clusters as cl
 from scholarium.operators import density as de
 from scholarium.operators import hierarchy as hi
@@ -79,6 +82,31 @@ def _(spark, sf):
     return vec.select("id", F.col("embedding")[0].cast("long").alias("n_chars"))
 
 
+@query("v01_pending_embeddings", """WITH RECURSIVE t AS (SELECT id, title || chr(10) || abstract AS text FROM papers WHERE id % 3<>0),
+    b AS (SELECT id, length(text) AS n_chars, len(list_filter(string_split_regex(text,'\\s+'), lambda x: x<>'')) AS tokens,
+      (row_number() OVER (ORDER BY id)-1)//128 AS batch, (row_number() OVER (ORDER BY id)-1)%128 AS position FROM t),
+    f AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY position) AS k FROM b WHERE tokens<=2000),
+    s AS (SELECT batch, k, id, n_chars, tokens AS used, 0::BIGINT AS sub FROM f WHERE k=1
+      UNION ALL SELECT f.batch, f.k, f.id, f.n_chars, CASE WHEN s.used+f.tokens>2000 THEN f.tokens ELSE s.used+f.tokens END,
+        CASE WHEN s.used+f.tokens>2000 THEN s.sub+1 ELSE s.sub END FROM s JOIN f ON f.batch=s.batch AND f.k=s.k+1),
+    c AS (SELECT id, n_chars, count(*) OVER w AS call_texts, CAST(sum(n_chars) OVER w AS BIGINT) AS call_chars,
+      row_number() OVER (PARTITION BY batch, sub ORDER BY k) AS place FROM s WINDOW w AS (PARTITION BY batch, sub))
+    SELECT id, n_chars, call_texts, call_chars, place FROM c UNION ALL SELECT id, -1, -1, -1, -1 FROM papers WHERE id % 3=0
+    UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM b WHERE tokens>2000""")
+def _(spark, sf):
+    p = v.papers(spark, sf)
+    stored = F.when(F.col("id") % 3 == 0, F.array_repeat(F.lit(-1.0), 4).cast("array<float>"))
+    texts = p.select("id", tx.embedding_text(F.lit(""), "title", "abstract", prefix=False).alias("text"))
+
+    def measure(texts):
+        # What a call sees: its texts in order.
+        return [[len(t), len(texts), sum(map(len, texts)), i + 1] for i, t in enumerate(texts)]
+
+    done = mo.embed_pending(p.select("id", stored.alias("embedding")), texts, measure, per_call=128, token_limit=2000)
+    names = ["n_chars", "call_texts", "call_chars", "place"]
+    return done.select("id", *[F.col("embedding")[i].cast("long").alias(c) for i, c in enumerate(names)])
+
+
 SCALED_SQL = """SELECT vec_id AS id, dim, round((x-avg(x) OVER (PARTITION BY dim))/stddev_pop(x) OVER (PARTITION BY dim),6)+0.0 AS value FROM
     (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding,1)-1 AS dim FROM embeddings)"""
 
@@ -301,6 +329,19 @@ def _(spark, sf):
     return mo.label_prompts(prompts, count_blocks).select("cluster_id", "label", "safety_relevance")
 
 
+@query("v15_paper_labels", """SELECT id, CASE WHEN id % 4=0 THEN 'kept' WHEN length(abstract) % 23<>0 THEN 'Length ' || length(abstract) END AS llm_category FROM papers""")
+def _(spark, sf):
+    def measure(prompts):
+        # A paper of certain lengths spoils the answer of its whole prompt.
+        for prompt in prompts:
+            sizes = [len(x.split("\nAbstract: ", 1)[1]) for x in prompt.split("\n\nTitle: ")[1:]]
+            labels = [f"Length {n}" for n in sizes]
+            yield json.dumps(labels[1:] if any(n % 23 == 0 for n in sizes) else labels)
+
+    p = v.papers(spark, sf).withColumn("llm_category", F.when(F.col("id") % 4 == 0, "kept"))
+    return mo.label_papers(p, measure, "Give each paper a category.").select("id", "llm_category")
+
+
 @query("v16_parameter_sweep")
 def _(spark, sf):
     grid = tr.parameter_grid(spark, 2, seed=7, ranges={
