@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarium.operators.ordering import running_within
 from scholarium.session import cut_lineage
 
 
@@ -131,6 +132,83 @@ def hierarchy_walk(
     )
 
 
+#: Stands for the parent of the roots where a key may not be null.
+ABOVE = -(1 << 62)
+
+
+def preorder(trees: DataFrame, trial_id: int) -> DataFrame:
+    """(cluster_id, place, depth, n_below): the order in which the tree is printed, without a job per level.
+
+    Parents come before their children, larger children first, then smaller ids; ``place`` counts from 1 and ``n_below``
+    counts the clusters of the subtree. The tree is walked round its edges: every cluster is entered once and left once, and
+    each of these steps knows the next. Pointers along the walk are doubled, so the rounds are as many as twice the
+    number of clusters has binary digits, however deep the tree is and however many children a cluster has.
+    """
+    t = _trial(trees, trial_id).where(F.col("child_cluster_id").isNotNull())
+    sizes = F.coalesce(F.col("child_size").cast("long"), F.lit(0))
+    below = t.select(F.col("parent_cluster_id").cast("long").alias("up"), F.col("child_cluster_id").cast("long").alias("node"), sizes.alias("size"))
+    first = roots(trees, trial_id).select(F.lit(ABOVE).alias("up"), F.col("cluster_id").cast("long").alias("node"), F.lit(0).cast("long").alias("size"))
+    # Of repeated edges one stays.
+    edges = below.unionByName(first).groupBy("up", "node").agg(F.max("size").alias("size"))
+    edges = edges.select("up", F.struct((-F.col("size")).alias("size"), "node").alias("child"), F.lit(1).alias("one"))
+    lined = cut_lineage(running_within(edges, ["up"], "child", "one", "nth", "following").select(
+        "up", F.col("child.node").alias("node"), "nth", F.col("following.node").alias("following")
+    ))
+    total, distinct = lined.agg(F.count("*"), F.countDistinct("node")).first()
+    if total != distinct:
+        raise ValueError("a cluster has several parents")
+    oldest = lined.where("nth = 1").select(F.col("up").alias("node"), F.col("node").alias("oldest"))
+    enter = lined.join(oldest, "node", "left").select(
+        (F.col("node") * 2).alias("at"), F.coalesce(F.col("oldest") * 2, F.col("node") * 2 + 1).alias("next"),
+        F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper"),
+    )
+    over = F.when(F.col("up") != ABOVE, F.col("up") * 2 + 1)
+    leave = lined.select(
+        (F.col("node") * 2 + 1).alias("at"), F.coalesce(F.col("following") * 2, over).alias("next"),
+        F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"),
+    )
+    walk = cut_lineage(enter.unionByName(leave))
+    # Sums over the steps from one on up to the one it points to.
+    for _ in range((2 * total).bit_length() + 1):
+        if walk.where(F.col("next").isNotNull()).isEmpty():
+            break
+        ahead = walk.select(F.col("at").alias("next"), F.col("next").alias("n2"), F.col("entered").alias("e2"), F.col("deeper").alias("d2"))
+        walk = cut_lineage(walk.join(ahead, "next", "left").select(
+            "at", F.col("n2").alias("next"), (F.col("entered") + F.coalesce("e2", F.lit(0))).alias("entered"),
+            (F.col("deeper") + F.coalesce("d2", F.lit(0))).alias("deeper"),
+        ))
+    else:
+        raise ValueError("a cluster is below itself")
+    left = walk.where("at % 2 <> 0").select((F.col("at") - 1).alias("at"), F.col("entered").alias("after"))
+    return walk.where("at % 2 = 0").join(left, "at").select(
+        F.shiftright("at", 1).alias("cluster_id"), (F.lit(total) - F.col("entered") + 1).alias("place"),
+        (-F.col("deeper")).alias("depth"), (F.col("entered") - F.col("after")).alias("n_below"),
+    )
+
+
+def printed_tree(
+    trees: DataFrame, trial_id: int, sizes: DataFrame, keyword_lines: DataFrame, max_depth: int | None = None
+) -> DataFrame:
+    """(place, cluster_id, depth, line, keywords): the tree as text, to be read in order of place.
+
+    ``sizes`` has (cluster_id, size) and ``keyword_lines`` (cluster_id, keywords); a cluster without keywords has no
+    second line, a null.
+    """
+    walk = preorder(trees, trial_id)
+    walk = walk if max_depth is None else walk.where(F.col("depth") < max_depth)
+    indent = F.repeat(F.lit("  "), F.col("depth").cast("int"))
+    size = F.coalesce("size", F.lit(0)).cast("string")
+    return (
+        walk.join(sizes.select("cluster_id", "size"), "cluster_id", "left")
+        .join(keyword_lines.select("cluster_id", F.col("keywords").alias("_k")), "cluster_id", "left")
+        .select(
+            "place", "cluster_id", "depth",
+            F.concat(indent, F.lit("Cluster "), F.col("cluster_id").cast("string"), F.lit(" ("), size, F.lit(" papers)")).alias("line"),
+            F.concat(indent, F.lit("Keywords: "), "_k").alias("keywords"),
+        )
+    )
+
+
 def lambda_range(trees: DataFrame, trial_id: int) -> DataFrame:
     """Edges with their level scaled to [0, 1] over all edges of the trial."""
     t = _trial(trees, trial_id)
@@ -182,6 +260,16 @@ def network_nodes(trees: DataFrame, trial_id: int, sizes: DataFrame) -> DataFram
     )
 
 
+def network_labels(nodes: DataFrame, keyword_lines: DataFrame, above: int = 5) -> DataFrame:
+    """Nodes with the text drawn at them: keywords where there are more than ``above`` members, nothing at empty nodes.
+
+    A smaller node has a null, and so has one whose members share no keyword.
+    """
+    lines = keyword_lines.select("cluster_id", F.col("keywords").alias("_k"))
+    text = F.when(F.col("size") > above, F.col("_k")).when(F.col("size") == 0, F.lit(""))
+    return nodes.join(lines, "cluster_id", "left").withColumn("text", text).drop("_k")
+
+
 def dendrogram_matrix(trees: DataFrame, trial_id: int) -> DataFrame:
     """Symmetric parent/child level matrix as sparse rows."""
     t = _trial(trees, trial_id)

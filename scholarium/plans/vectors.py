@@ -378,6 +378,31 @@ def _(spark, sf):
     return walk.orderBy("path").select("depth", line.alias("line"))
 
 
+PREORDER_SQL = """w AS (
+      SELECT DISTINCT parent_cluster_id AS cluster_id, 0 AS depth, lpad(CAST(parent_cluster_id AS VARCHAR),20,'0') AS path
+        FROM cluster_trees WHERE parent_cluster_id NOT IN (SELECT child_cluster_id FROM cluster_trees)
+      UNION ALL SELECT t.child_cluster_id, w.depth+1, w.path || '/' || lpad(CAST(1000000000000-t.child_size AS VARCHAR),13,'0')
+        || '-' || lpad(CAST(t.child_cluster_id AS VARCHAR),20,'0') FROM cluster_trees t JOIN w ON t.parent_cluster_id=w.cluster_id),
+    placed AS (SELECT cluster_id, depth, path, row_number() OVER (ORDER BY path) AS place FROM w)"""
+
+
+@query("j15_preorder_walk", f"""WITH RECURSIVE {PREORDER_SQL} SELECT cluster_id, place, CAST(depth AS BIGINT) AS depth,
+    (SELECT count(*) FROM placed b WHERE starts_with(b.path, a.path)) AS n_below FROM placed a""")
+def _(spark, sf):
+    return hi.preorder(v.cluster_trees(spark, sf), 1)
+
+
+@query("v18_printed_tree", KEYWORD_SQL.replace("WITH ", f"WITH RECURSIVE {PREORDER_SQL.replace('w AS', 'walk AS', 1).replace('JOIN w ON', 'JOIN walk w ON').replace('FROM w)', 'FROM walk)')}, ", 1) + """,
+    lines AS (SELECT cluster_id, string_agg(term, ', ' ORDER BY rank) AS line FROM keywords WHERE rank<=5 GROUP BY 1),
+    n AS (SELECT cluster_id, count(*) AS size FROM artifacts WHERE cluster_id<>-1 GROUP BY 1)
+    SELECT p.place, p.cluster_id, CAST(p.depth AS BIGINT) AS depth, repeat('  ', p.depth) || 'Cluster ' || p.cluster_id || ' (' || coalesce(n.size,0) || ' papers)' AS line,
+      repeat('  ', p.depth) || 'Keywords: ' || l.line AS keywords FROM placed p LEFT JOIN n ON n.cluster_id=p.cluster_id LEFT JOIN lines l ON l.cluster_id=p.cluster_id""")
+def _(spark, sf):
+    sizes = cl.cluster_sizes(v.artifacts(spark, sf), 1)
+    lines = kw.keyword_lines(kw.cluster_keywords(_text_members(spark, sf)), 5)
+    return hi.printed_tree(v.cluster_trees(spark, sf), 1, sizes, lines)
+
+
 @query("v19_network_edges", """SELECT parent_cluster_id, child_cluster_id, child_size AS weight, round((lambda_val-lo)/(hi-lo),6) AS level,
     round(2.0*child_size/max(child_size) OVER (),6) AS width FROM cluster_trees, (SELECT min(lambda_val) AS lo, max(lambda_val) AS hi FROM cluster_trees)
     WHERE child_size>1""")
@@ -385,16 +410,27 @@ def _(spark, sf):
     return hi.network_edges(v.cluster_trees(spark, sf), 1)
 
 
-@query("v19_network_nodes", """WITH e AS (SELECT *, (lambda_val-min(lambda_val) OVER ())/(max(lambda_val) OVER ()-min(lambda_val) OVER ()) AS level FROM cluster_trees),
+NODES_SQL = """WITH e AS (SELECT *, (lambda_val-min(lambda_val) OVER ())/(max(lambda_val) OVER ()-min(lambda_val) OVER ()) AS level FROM cluster_trees),
     x AS (SELECT parent_cluster_id AS c, level, false AS child FROM e WHERE child_size>1 UNION ALL SELECT child_cluster_id, level, true FROM e WHERE child_size>1),
     n AS (SELECT c AS cluster_id, max(level) AS level, bool_or(child) AS child FROM x GROUP BY c),
     a AS (SELECT cluster_id, count(*) AS size FROM artifacts WHERE cluster_id<>-1 GROUP BY 1),
     y AS (SELECT n.cluster_id, round(n.level,6) AS level, CASE WHEN child THEN coalesce(a.size,0) ELSE 0 END AS size FROM n LEFT JOIN a ON n.cluster_id=a.cluster_id)
-    SELECT *, CASE WHEN size>0 THEN round(1000.0*size/(SELECT count(*) FROM y WHERE size>0),6) ELSE 100.0 END AS node_size FROM y""")
+    SELECT *, CASE WHEN size>0 THEN round(1000.0*size/(SELECT count(*) FROM y WHERE size>0),6) ELSE 100.0 END AS node_size FROM y"""
+
+
+@query("v19_network_nodes", NODES_SQL)
 def _(spark, sf):
     return hi.network_nodes(v.cluster_trees(spark, sf), 1, cl.cluster_sizes(v.artifacts(spark, sf), 1))
 
 
+@query("v19_network_labels", KEYWORD_SQL + f""",
+    lines AS (SELECT cluster_id, string_agg(term, chr(10) ORDER BY rank) AS line FROM keywords WHERE rank<=3 GROUP BY 1)
+    SELECT o.*, CASE WHEN o.size>5 THEN l.line WHEN o.size=0 THEN '' END AS text FROM ({NODES_SQL}) o LEFT JOIN lines l ON l.cluster_id=o.cluster_id""")
+def _(spark, sf):
+    nodes = hi.network_nodes(v.cluster_trees(spark, sf), 1, cl.cluster_sizes(v.artifacts(spark, sf), 1))
+    return hi.network_labels(nodes, kw.keyword_lines(kw.cluster_keywords(_text_members(spark, sf)), 3, "\n"))
+
+
 @query("v20_dendrogram_matrix", """SELECT parent_cluster_id AS row_id, child_cluster_id AS col_id, lambda_val FROM cluster_trees
     UNION ALL SELECT child_cluster_id, parent_cluster_id, lambda_val FROM cluster_trees""")
 def _(spark, sf):
