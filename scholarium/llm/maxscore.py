@@ -17,14 +17,19 @@ from scholarium.llm.common import column, step
 
 SHARD_ROWS = 2048
 QUERY_ROWS = 1024
+#: Components of a shard, and blocks of queries that meet a shard in one task.
+SHARD_CELLS = 1 << 20
+BLOCKS_AT_ONCE = 8
 
 
 class Shard:
     """Posting lists over the rows of one shard. ``weights``: rows x dimensions, whole numbers."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, numbers: np.ndarray):
+        """``numbers`` tells rows apart, also those that repeat an id."""
         order = np.argsort(ids, kind="stable")
         self.ids, self.weights = ids[order], weights[order]
+        self.numbers = numbers[order]
         self.postings = []
         for j in range(self.weights.shape[1]):
             rows = np.flatnonzero(self.weights[:, j])
@@ -35,8 +40,8 @@ class Shard:
         # Heads of the lists, sorted by weight: where high scores are likely.
         self.order = [rows[np.argsort(w, kind="stable")] for rows, w in self.postings]
 
-    def top(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without the row of ``own_id``."""
+    def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id, without the row of number ``own``."""
         n = len(self.ids)
         q = query[: len(self.most)]
         if len(q) < len(self.most):
@@ -46,7 +51,7 @@ class Shard:
         # A first threshold from the heads of the strongest lists.
         heads = [self.order[j][-2 * k :] if q[j] > 0 else self.order[j][: 2 * k] for j in terms[-4:]]
         head = np.unique(np.concatenate(heads)) if heads else np.zeros(0, np.int64)
-        head = head[self.ids[head] != own_id]
+        head = head[self.numbers[head] != own]
         scores = self.weights[head] @ q
         threshold = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
         # Terms in rising order of bound; a prefix that cannot reach the threshold alone is non-essential.
@@ -59,7 +64,7 @@ class Shard:
             if q[j]:
                 partial[rows] += q[j] * w
                 seen[rows] = True
-        live = np.flatnonzero(seen & (self.ids != own_id))
+        live = np.flatnonzero(seen & (self.numbers != own))
         score = partial[live]
         for place in range(split - 1, -1, -1):
             keep = score + reach[place] >= threshold
@@ -82,57 +87,85 @@ def _matrix(vectors: list[list[float]], scale: float) -> np.ndarray:
     return np.floor(out * scale).astype(np.int64)
 
 
-def _blocks(rows: DataFrame, size: int, name: str, scale: float) -> tuple[DataFrame, int]:
-    """Pack rows (id, v) into blocks of about ``size``: (name, ids, width, weights)."""
-    n = rows.count()
+def _packed(w: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers as bytes, each in as few bytes as the largest needs (2, 4 or 8)."""
+    top = max(int(w.max(initial=0)), -int(w.min(initial=0)))
+    size = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    return w.astype(f"<i{size}").tobytes(), size
+
+
+def _blocks(rows: DataFrame, n: int, size: int, name: str, scale: float) -> tuple[DataFrame, int]:
+    """Pack the ``n`` rows (row, id, v) into blocks of about ``size``: (name, rows, ids, cell, weights)."""
     count = max(1, -(-n // size))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(count)))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("row", F.lit(7)), F.lit(count)))
 
     def pack(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        w = _matrix(group.column("v").to_pylist(), scale)
+        numbers = [group.column(c).to_numpy().astype("<i8").tobytes() for c in ("row", "id")]
+        data, cell = _packed(_matrix(group.column("v").to_pylist(), scale))
         return pa.table({
-            name: group.column(name)[:1], "ids": pa.array([ids.astype("<i8").tobytes()]),
-            "width": pa.array([w.shape[1]], pa.int64()), "weights": pa.array([w.astype("<i8").tobytes()]),
+            name: group.column(name)[:1], "rows": pa.array(numbers[:1]), "ids": pa.array(numbers[1:]),
+            "cell": pa.array([cell], pa.int32()), "weights": pa.array([data]),
         })
 
-    packed = dealt.groupBy(name).applyInArrow(pack, f"{name} long, ids binary, width long, weights binary")
+    packed = dealt.groupBy(name).applyInArrow(pack, f"{name} long, rows binary, ids binary, cell int, weights binary")
     return step(packed), count
 
 
+def _unpacked(rows, ids, cell, weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    w = np.frombuffer(weights, f"<i{cell}").reshape(len(ids), -1)
+    return np.frombuffer(rows, "<i8"), ids, w.astype(np.int64)
+
+
 def top_k(
     vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """For each vector whose id is divisible by ``every``: (query_id, rank, vec_id, score) of the k best others.
 
-    Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite component take no part; of
-    rows that repeat an id one stays (its smallest vector). Shorter vectors count as filled with zeros. Scores are exact below 2^63.
+    Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite component take no part.
+    Rows that repeat an id are rows of their own: each is a candidate for the other, and each that asks has its own ranks.
+    Equal scores go by id, equal ids by no further rule. Shorter vectors count as filled with zeros. Scores are
+    exact below 2^63. An empty table gives an empty result; further columns, whatever their names, are not read.
     """
     v = column(vectors, vector).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(column(vectors, key).cast("long").alias("id"), v.alias("v")).where(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & good
-    )
-    rows = step(rows.groupBy("id").agg(F.min("v").alias("v")))
-    shards, _ = _blocks(rows, SHARD_ROWS, "shard", scale)
-    asked, n_blocks = _blocks(rows.where(F.col("id") % every == 0), QUERY_ROWS, "block", scale)
-    # Every block of queries meets every shard once, as an equality join on the block's number.
-    copies = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    q = asked.select("block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("weights").alias("q_weights"))
-    pairs = copies.join(q, "block")
+    rows = vectors.select(
+        F.monotonically_increasing_id().alias("row"), column(vectors, key).cast("long").alias("id"), v.alias("v")
+    ).where(F.col("id").isNotNull() & F.col("v").isNotNull() & good)
+    # Written, so that a row keeps its number.
+    rows = step(rows)
+    asking = F.col("id") % every == 0
+    n, n_asking, width = rows.agg(F.count("*"), F.count_if(asking), F.max(F.size("v"))).first()
+    # A shard is a bounded number of components, however wide the vectors are.
+    size = max(SHARD_ROWS // 16, min(SHARD_ROWS, SHARD_CELLS // max(1, width or 1)))
+    shards, n_shards = _blocks(rows, n, size, "shard", scale)
+    asked, n_blocks = _blocks(rows.where(asking), n_asking, min(QUERY_ROWS, size), "block", scale)
+    # Every block of queries meets every shard once. The key names both the shard and a few of the blocks, so a task
+    # has one shard at a time, reads its postings once for those blocks, and no key grows with the table.
+    groups = -(-n_blocks // BLOCKS_AT_ONCE)
+    met = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
+    q = asked.select(
+        F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("cell").alias("q_cell"), F.col("weights").alias("q_weights"),
+        F.floor(F.col("block") / BLOCKS_AT_ONCE).alias("group"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")).alias("shard"),
+    )
+    pairs = met.join(q, ["shard", "group"]).sortWithinPartitions("shard")
 
     def search(batches):
+        at, shard = None, None
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                shard = Shard(ids, np.frombuffer(r["weights"], "<i8").reshape(len(ids), -1))
-                asked_ = np.frombuffer(r["q_weights"], "<i8").reshape(len(q_ids), -1)
-                for own, query in zip(q_ids.tolist(), asked_, strict=True):
-                    out += [(own, i, s) for s, i in shard.top(own, query, k)]
-            table = np.array(out, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["shard"] != at:
+                    row, ids, weights = _unpacked(r["rows"], r["ids"], r["cell"], r["weights"])
+                    at, shard = r["shard"], Shard(ids, weights, row)
+                q_row, q_ids, asked_ = _unpacked(r["q_rows"], r["q_ids"], r["q_cell"], r["q_weights"])
+                out = []
+                for own, id_, query in zip(q_row.tolist(), q_ids.tolist(), asked_, strict=True):
+                    out += [(own, id_, i, s) for s, i in shard.top(own, query, k)]
+                table = np.array(out, np.int64).reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["row", "query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scholarium.llm import alignment, exact_dedup, language, maxscore, mixing, near_dedup, packing, repeats, ring, tokens, toxicity, warc
@@ -59,18 +60,26 @@ def test_exact_groups(docs):
     assert exact_dedup.without_copies(docs, max_bits=exact_dedup.bloom.SEGMENT_BITS).count() == len(groups)
 
 
-def test_maxscore(spark):
+def test_maxscore(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(400, 8)).round(1)
     vectors[7] = vectors[3]
     data = [(i, v.tolist(), "z") for i, v in enumerate(vectors)] + [(1000, None, "z"), (1001, [1.0, None] * 4, "z"), (1050, [float("nan")] * 8, "z")]
     df = spark.createDataFrame(data + data[:2], "vec_id long, embedding array<double>, score string")
-    w = np.floor(256 * vectors).astype(int)
-    want = set()
-    for q in range(0, 400, 50):
-        best = sorted((-(w[q] @ w[i]), i) for i in range(400) if i != q)[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in maxscore.top_k(df).collect()} == want
+    # Two rows repeat the ids 0 and 1: every row but the query's own is a candidate, and each row of id 0 asks.
+    ids, w = [*range(400), 0, 1], np.floor(256 * np.r_[vectors, vectors[:2]]).astype(int)
+
+    def wanted(scale=1):
+        for q in (i for i, x in enumerate(ids) if x % 50 == 0):
+            best = sorted((-(w[q] @ w[i]) * scale**2, ids[i]) for i in range(402) if i != q)[:5]
+            yield from ((ids[q], k + 1, i, int(-s)) for k, (s, i) in enumerate(best))
+
+    assert sorted(tuple(r) for r in maxscore.top_k(df).collect()) == sorted(wanted())
+    # Many small shards and blocks, several groups of blocks, and weights that need more bytes.
+    for name, value in (("SHARD_ROWS", 32), ("QUERY_ROWS", 1), ("BLOCKS_AT_ONCE", 2)):
+        monkeypatch.setattr(maxscore, name, value)
+    whole = df.where("vec_id < 1000").withColumn("embedding", F.expr("transform(embedding, x -> floor(256 * x) * 65536D)"))
+    assert sorted(tuple(r) for r in maxscore.top_k(whole, scale=1.0).collect()) == sorted(wanted(65536))
     assert maxscore.top_k(df.limit(0)).count() == 0
 
 
