@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarium.functions.text import blank_to_null, normalize_suffix, strip_trailing_commas
 from scholarium.operators.ordering import number_rows
+from scholarium.session import cut_lineage
 
 KEYS = ["keyname", "forenames_key", "suffix_key"]
 
@@ -49,9 +50,31 @@ def rewrite_links(links: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.groupBy("paper_id", "author_id").agg(F.min("author_position").alias("author_position"))
 
 
-def deduplicate_authors(authors: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged author table and rewritten links."""
-    return canonical_authors(authors), rewrite_links(links, author_mapping(authors))
+def check_coverage(authors: DataFrame, links: DataFrame, mapping: DataFrame, shown: int = 5) -> None:
+    """Fail, naming a few, if the mapping misses an author or if a link points at an author that it does not know."""
+    lost = unmapped_authors(authors, mapping).select(F.lit("unmapped authors").alias("what"), F.col("id").cast("string").alias("which"))
+    known = mapping.select(F.col("old_id").alias("author_id"))
+    stray = links.join(known, "author_id", "left_anti").select(
+        F.lit("links to unknown authors").alias("what"), F.concat_ws("-", F.col("paper_id").cast("string"), F.col("author_id").cast("string")).alias("which")
+    )
+    some = Window.partitionBy("what").orderBy("which")
+    counted = lost.unionByName(stray)
+    first = counted.withColumn("r", F.row_number().over(some)).where(F.col("r") <= shown).groupBy("what").agg(F.collect_list("which").alias("some"))
+    found = counted.groupBy("what").agg(F.count("*").alias("n")).join(first, "what").orderBy("what").collect()
+    if found:
+        raise ValueError("; ".join(f"{r['n']} {r['what']}, such as {', '.join(sorted(r['some']))}" for r in found))
+
+
+def deduplicate_authors(authors: DataFrame, links: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Merged author table and rewritten links.
+
+    Links to unknown authors stay as they are; ``strict`` fails on them, before anything is replaced.
+    """
+    mapping = author_mapping(authors)
+    if strict:
+        mapping = cut_lineage(mapping)
+        check_coverage(authors, links, mapping)
+    return canonical_authors(authors), rewrite_links(links, mapping)
 
 
 def comma_mapping(authors: DataFrame) -> DataFrame:
@@ -78,13 +101,19 @@ def comma_mapping(authors: DataFrame) -> DataFrame:
     )
 
 
-def merge_comma_authors(authors: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge comma authors into the clean author where there is one, else rename them."""
+def merge_comma_authors(
+    authors: DataFrame, links: DataFrame, affiliations: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge comma authors into the clean author where there is one, else rename them.
+
+    ``affiliations(author_id, affiliation)``, if given, follow their authors and come back as a third table.
+    """
     mapping = comma_mapping(authors)
     moved = mapping.where("old_id <> new_id").select("old_id", "new_id")
     kept = authors.join(moved.select(F.col("old_id").alias("id")), "id", "left_anti")
     renamed = kept.withColumn("keyname", strip_trailing_commas("keyname"))
-    return renamed, rewrite_links(links, moved)
+    merged = renamed, rewrite_links(links, moved)
+    return merged if affiliations is None else (*merged, move_affiliations(affiliations, moved))
 
 
 def move_affiliations(affiliations: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -186,6 +186,19 @@ def _(spark, sf):
     return r.select("trial_id", "value", F.col("params")["min_cluster_size"].alias("min_cluster_size"), F.col("metrics")["n_customers"].alias("n_customers"))
 
 
+@query("s09_updated_trials", """SELECT trial_id, value, CAST(n_customers AS DOUBLE) AS n_customers, CASE WHEN trial_id % 5=0 THEN trial_id/2.0 ELSE value END AS value_metric,
+    CASE WHEN trial_id % 5=0 THEN 0.25::DOUBLE END AS validity_index FROM trials""")
+def _(spark, sf):
+    path = scratch_path(spark, "trials")
+    store.write_trials(_trial_records(spark, sf), path)
+    new = F.create_map(F.lit("value"), F.col("trial_id") / 2, F.lit("validity_index"), F.lit(0.25).cast("double"))
+    store.update_trials(spark, path, v.trials(spark, sf).where("trial_id % 5 = 0").select("trial_id", new.alias("metrics")))
+    m = F.col("metrics")
+    return store.read_trials(spark, path).select(
+        "trial_id", "value", m["n_customers"].alias("n_customers"), m["value"].alias("value_metric"), m["validity_index"].alias("validity_index")
+    )
+
+
 @query("s11_vector_codec", """SELECT vec_id, len(embedding)*4 AS bytes, round(list_sum(embedding::DOUBLE[]),6) AS total FROM embeddings""")
 def _(spark, sf):
     e = v.table(spark, sf, "embeddings").select("vec_id", vec.encode_f32("embedding").alias("blob"))
@@ -254,7 +267,7 @@ def _(spark, sf):
 @query("d03_deduplicated_links", f"""SELECT pa.paper_id, m.new_id AS author_id, min(pa.author_position) AS author_position
     FROM paper_authors pa JOIN ({MAPPING_SQL}) m ON pa.author_id=m.old_id GROUP BY pa.paper_id, m.new_id""")
 def _(spark, sf):
-    authors, links = au.deduplicate_authors(v.authors(spark, sf), v.paper_authors(spark, sf))
+    authors, links = au.deduplicate_authors(v.authors(spark, sf), v.paper_authors(spark, sf), strict=True)
     # Every rewritten link must point at a kept author.
     return tb.without_orphans(links, authors, "author_id", "id")
 
@@ -279,6 +292,13 @@ def _(spark, sf):
     return links
 
 
+@query("d04_comma_affiliations", COMMA_SQL + """ SELECT DISTINCT coalesce(m.new_id, c.id) AS author_id, 'U' || (c.id % 11) AS affiliation FROM c LEFT JOIN m ON c.id=m.old_id""")
+def _(spark, sf):
+    a = v.comma_authors(spark, sf)
+    held = a.select(F.col("id").alias("author_id"), F.concat(F.lit("U"), F.col("id") % 11).alias("affiliation"))
+    return au.merge_comma_authors(a, v.paper_authors(spark, sf), held)[2]
+
+
 @query("d05_orphans_removed", "SELECT count(*) AS removed FROM paper_versions WHERE paper_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, sf):
     _, removed = ma.remove_orphan_versions(v.paper_versions(spark, sf), v.table(spark, sf, "labels").withColumnRenamed("doc_id", "id"))

@@ -521,6 +521,14 @@ def _(spark, sf):
     return _validity(spark, sf)[0]
 
 
+@query("v11_computed_metrics")
+def _(spark, sf):
+    m = _members(spark, sf).select(F.col("paper_id").alias("id"), "cluster_id", "embedding")
+    both = m.select(F.lit(1).alias("trial_id"), "*").unionByName(m.select(F.lit(2).alias("trial_id"), "*"))
+    # The given metrics are those of trial 1.
+    return de.metrics_where_absent(v.cluster_metrics(spark, sf), both, 5)[0]
+
+
 @query("v10_pair_separations")
 def _(spark, sf):
     return _validity(spark, sf)[1]

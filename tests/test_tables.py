@@ -81,6 +81,7 @@ def test_authors_merge_and_links_collapse(spark):
     )
     links = spark.createDataFrame([("p", 2, 2), ("p", 1, 1), ("p", 4, 3), ("q", 6, 1), ("q", 99, 2)], schemas.PAPER_AUTHORS)
     canon, moved = au.deduplicate_authors(a, links)
+    moved_before = moved.count()
     assert rows(canon.where("keyname = 'Li'")) == [(1, "Li", None, "Jr."), (3, "Li", "X", None)]
     assert ("p", 1, 1) in rows(moved) and len(rows(moved)) == 4
     kept, moved = au.merge_comma_authors(a, links)
@@ -88,6 +89,13 @@ def test_authors_merge_and_links_collapse(spark):
     assert ("p", 3, 3) in rows(moved) and ("q", 5, 1) in rows(moved)
     aff = spark.createDataFrame([(4, "U"), (3, "U"), (5, "V")], "author_id int, affiliation string")
     assert rows(au.move_affiliations(aff, au.comma_mapping(a).select("old_id", "new_id"))) == [(3, "U"), (5, "V")]
+    assert rows(au.merge_comma_authors(a, links, aff)[2]) == [(3, "U"), (5, "V")]
+    with pytest.raises(ValueError, match="1 links to unknown authors, such as q-99"):
+        au.deduplicate_authors(a, links, strict=True)
+    inside = links.where("author_id <> 99")
+    assert au.deduplicate_authors(a, inside, strict=True)[1].count() == moved_before - 1
+    with pytest.raises(ValueError, match="unmapped authors"):
+        au.check_coverage(a, links.limit(0), au.author_mapping(a).limit(0))
 
 
 def test_find_or_create_numbers_after_the_maximum(spark):
