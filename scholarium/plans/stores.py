@@ -199,6 +199,14 @@ def _(spark, sf):
     )
 
 
+@query("o03_page_after_key", "SELECT id, title, true AS few_files FROM papers WHERE id>37 ORDER BY id LIMIT 100")
+def _(spark, sf):
+    path = scratch_path(spark, "pages")
+    store.save_pages(v.papers(spark, sf).select("id", "title"), path, "id", rows_per_file=100)
+    few = len(store.page_files(spark, path, 100, 37)) <= 4
+    return store.page_after(spark, path, "id", 100, 37).withColumn("few_files", F.lit(few))
+
+
 @query("s11_vector_codec", """SELECT vec_id, len(embedding)*4 AS bytes, round(list_sum(embedding::DOUBLE[]),6) AS total FROM embeddings""")
 def _(spark, sf):
     e = v.table(spark, sf, "embeddings").select("vec_id", vec.encode_f32("embedding").alias("blob"))

@@ -130,3 +130,24 @@ def test_snapshot_and_existence(spark, tmp_path):
     assert back.columns == ["id", "keyname", "forenames", "suffix"] and back.count() == 0
     assert store.path_exists(spark, f"{path}/authors") and not store.path_exists(spark, f"{path}/none")
     assert not store.table_exists(spark, "no_such_table")
+
+
+def test_pages_follow_a_key(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    ids = [i * 3 for i in range(200)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in [*ids, None]], "id long, title string")
+    store.save_pages(df, path, "id", rows_per_file=20)
+    after, seen = None, []
+    while True:
+        page = [r["id"] for r in store.page_after(spark, path, "id", 45, after).collect()]
+        # Files are cut by sampled borders, so they differ in size.
+        assert len(store.page_files(spark, path, 45, after)) <= 8
+        if not page:
+            break
+        assert len(page) == min(45, len(ids) - len(seen))
+        seen, after = seen + page, page[-1]
+    assert seen == ids
+    # A key between two stored ones, and an empty store.
+    assert [r["id"] for r in store.page_after(spark, path, "id", 2, 100).collect()] == [102, 105]
+    store.save_pages(df.limit(0), str(tmp_path / "none"), "id")
+    assert store.page_after(spark, str(tmp_path / "none"), "id", 5).count() == 0
