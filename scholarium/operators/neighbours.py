@@ -260,12 +260,13 @@ class BlockIndex:
 
     # -- searches ---------------------------------------------------------------------------------
 
-    def nearest(self, k: int, foreign: bool = False, reach: bool = False, within: bool = False) -> DataFrame:
+    def nearest(self, k: int, foreign: bool = False, reach: bool = False, within: bool = False, per_label: bool = False) -> DataFrame:
         """The ``k`` best partners per point as (src, dst, distance, key), a point itself included.
 
         ``foreign`` admits only partners of another label, ``within`` only those of the same group. ``reach`` measures mutual reachability
         (the largest of the distance and both core distances). Partners are ordered by the rounded
-        distance ``key``, then id; every stored member of a folded point is a partner.
+        distance ``key``, then id; every stored member of a folded point is a partner. With ``per_label`` only the
+        best of each label need be right: what cannot beat the bound of a point's whole label is not searched.
         """
         schema = "src long, dst long, distance double, key double"
         if self.layout is None:
@@ -273,7 +274,7 @@ class BlockIndex:
         shared = self.spark.sparkContext.broadcast(self.layout)
         metric = self.metric
         blocks = self.blocks()
-        own_schema = "src long, block long, v array<double>, label long, core double, grp long, bound double, lines array<long>, dst array<long>, distance array<double>, key array<double>"
+        own_schema = "src long, block long, v array<double>, label long, core double, grp long, bound double, lines array<long>, lows array<double>, dst array<long>, distance array<double>, key array<double>"
 
         def search_own(pdf: pd.DataFrame) -> pd.DataFrame:
             layout = shared.value
@@ -281,7 +282,7 @@ class BlockIndex:
             x = np.stack(pdf["v"].to_numpy())
             own_cell = int(pdf["cell"].iloc[0])
             labels, cores, groups = pdf["label"].to_numpy(), pdf["core"].to_numpy(), pdf["grp"].to_numpy()
-            bounds, targets = [], []
+            bounds, targets, lows = [], [], []
             slack = slack_of(x, layout.pivots)
             for s in range(0, len(pdf), CHUNK):
                 part = slice(s, s + CHUNK)
@@ -303,6 +304,7 @@ class BlockIndex:
                     open_lines &= (layout.group_lo[None, :] <= g) & (g <= layout.group_hi[None, :])
                 bounds.append(bound)
                 targets.extend(np.flatnonzero(row) for row in open_lines)
+                lows.extend(low[row] if per_label else None for low, row in zip(lb, open_lines))
             return pd.DataFrame({
                 "src": pdf["id"].to_numpy(),
                 "block": pdf["block"].to_numpy(),
@@ -312,6 +314,7 @@ class BlockIndex:
                 "grp": groups,
                 "bound": np.concatenate(bounds),
                 "lines": targets,
+                "lows": lows,
                 "dst": [f[0] for f in found],
                 "distance": [f[1] for f in found],
                 "key": [f[2] for f in found],
@@ -329,9 +332,15 @@ class BlockIndex:
             "src", "p.dst", "p.distance", "p.key"
         )
         lines = self._line_table()
+        asking = first.select("src", "block", "v", "label", "core", "grp", "bound", F.explode("lines").alias("line"))
+        if per_label:
+            best = first.groupBy("label").agg(F.min("bound").alias("best"))
+            low = first.select("src", "block", "v", "label", "core", "grp", F.explode(F.arrays_zip("lines", "lows")).alias("at"))
+            asking = low.join(best, "label").where(F.col("at.lows") <= F.col("best")).select(
+                "src", "block", "v", "label", "core", "grp", F.col("best").alias("bound"), F.col("at.lines").alias("line")
+            )
         routed = (
-            first.select("src", "block", "v", "label", "core", "grp", "bound", F.explode("lines").alias("line"))
-            .join(F.broadcast(lines), "line")
+            asking.join(F.broadcast(lines), "line")
             .withColumn("target", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("splits") - 1)))
             .where(F.col("target") != F.col("block"))
             .select("target", F.col("block").alias("origin"), F.col("src").alias("id"), "v", "label", "core", "grp", "bound")
@@ -367,6 +376,16 @@ class BlockIndex:
             .drop("r")
         )
 
+    def separations(self) -> DataFrame:
+        """Smallest mutual reachability of each label to any other: (label, separation); no label where there is but one.
+
+        Branch and bound: a point's own block and the rings bound the separation of its label from above, and only
+        rings that may hold something nearer to a point than that are opened. No pair of labels is formed.
+        """
+        found = self.nearest(1, foreign=True, reach=True, per_label=True)
+        labels = self.points.select(F.col("id").alias("src"), "label")
+        return found.join(labels, "src").groupBy("label").agg(F.min("key").alias("separation"))
+
     def _line_table(self) -> DataFrame:
         """Ring lines as a table; bounded, see Layout."""
         lay = self.layout

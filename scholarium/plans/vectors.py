@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scholarium.functions import text as tx
 from scholarium.operators import clusters as cl
 from scholarium.operators import density as de
+from scholarium.operators import descent as dc
 from scholarium.operators import hierarchy as hi
 from scholarium.operators import keywords as kw
 from scholarium.operators import models as mo
@@ -54,6 +55,20 @@ def _(spark, sf):
     return nb.approximate_graph(v.vectors(spark, sf), 10, 1.2)
 
 
+@query("j19_descent_neighbours")
+def _(spark, sf):
+    return dc.descent_graph(v.vectors(spark, sf), 10)
+
+
+# Lists are full, and at least 95 % of the exact neighbours are found; SQL knows how many those are.
+@query("j19_descent_recall", "SELECT 10*count(*) AS n_exact, 10*count(*) AS n_listed, true AS recall_reached FROM embeddings")
+def _(spark, sf):
+    found = cut_lineage(dc.descent_graph(v.vectors(spark, sf), 10))
+    exact = nb.knn_graph(v.vectors(spark, sf), 10, "cosine", include_self=False)
+    n_listed = found.agg(F.count("*")).scalar()
+    return dc.recall(found, exact).select("n_exact", n_listed.alias("n_listed"), (F.col("recall") >= 0.95).alias("recall_reached"))
+
+
 @query("w08_top_neighbours", KNN_SQL.replace("{k}", "5"))
 def _(spark, sf):
     return _graph(spark, sf, 5)
@@ -518,7 +533,20 @@ def _validity(spark, sf):
 
 @query("v10_density_validity")
 def _(spark, sf):
-    return _validity(spark, sf)[0]
+    return de.cluster_validity(_members(spark, sf).select(F.col("paper_id").alias("id"), "cluster_id", "embedding"), 5)
+
+
+MEMBER_REACH_SQL = """WITH m AS (SELECT a.cluster_id, e.vec_id, e.embedding::DOUBLE[] AS v FROM artifacts a JOIN embeddings e ON a.paper_id=e.vec_id
+      WHERE a.cluster_id<>-1),
+    d AS (SELECT a.vec_id, round(list_distance(a.v,b.v),6) AS d FROM m a JOIN m b ON a.cluster_id=b.cluster_id),
+    c AS (SELECT m.*, core FROM m JOIN (SELECT vec_id, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d)
+      WHERE r<=5 GROUP BY vec_id) k ON m.vec_id=k.vec_id)"""
+
+
+@query("v10_cluster_separations", MEMBER_REACH_SQL + """ SELECT a.cluster_id, round(min(greatest(list_distance(a.v,b.v), a.core, b.core)),6) AS separation
+    FROM c a JOIN c b ON a.cluster_id<>b.cluster_id GROUP BY a.cluster_id""")
+def _(spark, sf):
+    return de.cluster_separations(_members(spark, sf).select(F.col("paper_id").alias("id"), "cluster_id", "embedding"), 5)
 
 
 @query("v11_computed_metrics")
