@@ -359,11 +359,7 @@ def _(spark, sf):
 
 @query("v16_parameter_sweep")
 def _(spark, sf):
-    grid = tr.parameter_grid(spark, 2, seed=7, ranges={
-        "n_components": (8, 16, "int"), "n_neighbors": (5, 15, "int"), "min_cluster_size": (5, 20, "int"),
-        "min_samples": (2, 8, "int"), "cluster_selection_epsilon": (0.0, 0.5, "double"),
-    })
-    done = tr.run_trials(v.vectors(spark, sf).select("id", "embedding"), grid, scratch_path(spark, "trials"))
+    done = tr.run_trials(v.vectors(spark, sf).select("id", "embedding"), tr.parameter_grid(spark, 3, seed=7), scratch_path(spark, "trials"))
     return tr.best_trial(done).select("trial_id", "value", F.col("metrics")["n_clusters"].alias("n_clusters"))
 
 
