@@ -11,6 +11,24 @@ from scholarium.functions.text import STOP_WORDS, words, words_and_pairs
 from scholarium.session import cut_lineage
 
 
+#: Characters of text whose terms one task counts.
+TEXT_PER_TASK = 2 << 20
+
+
+def term_counts(members: DataFrame, stop_words: Sequence[str] = STOP_WORDS, text_per_task: int = TEXT_PER_TASK) -> DataFrame:
+    """How often each member has each word and word pair: (cluster_id, paper_id, term, tf).
+
+    Nearly every (member, term) is distinct, so sums before a shuffle would hold all terms of a task at once and save nothing.
+    Members are dealt out by their key first, into as many parts as their text needs; a part counts its own terms.
+    """
+    text = F.concat(F.coalesce("title", F.lit("None")), F.lit(" "), F.coalesce("abstract", F.lit("None")))
+    texts = members.select("cluster_id", "paper_id", text.alias("text"))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = texts.repartition(int(size // text_per_task) + 1, "cluster_id", "paper_id")
+    terms = dealt.select("cluster_id", "paper_id", F.explode(words_and_pairs(words(F.col("text"), stop_words))).alias("term"))
+    return terms.groupBy("cluster_id", "paper_id", "term").agg(F.count("*").alias("tf"))
+
+
 def cluster_keywords(
     members: DataFrame, n_keywords: int = 10, min_docs: int = 3, max_share: float = 0.7,
     stop_words: Sequence[str] = STOP_WORDS,
@@ -22,14 +40,9 @@ def cluster_keywords(
     length one; a term's score is its sum over the members. Counting happens per (cluster, term), so
     the size of a cluster does not matter.
     """
-    text = F.concat(F.coalesce("title", F.lit("None")), F.lit(" "), F.coalesce("abstract", F.lit("None")))
-    docs = members.select("cluster_id", "paper_id", words_and_pairs(words(text, stop_words)).alias("terms"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_docs"))
-    tf = docs.select("cluster_id", "paper_id", F.explode("terms").alias("term")).groupBy(
-        "cluster_id", "paper_id", "term"
-    ).agg(F.count("*").alias("tf"))
     # Read twice below; texts are cut into terms once.
-    tf = cut_lineage(tf)
+    tf = cut_lineage(term_counts(members, stop_words))
     df = (
         tf.groupBy("cluster_id", "term")
         .agg(F.count("*").alias("df"))
