@@ -28,6 +28,8 @@ SAMPLE_DOCS = 20_000
 MAX_GRAMS = 400_000
 #: Words whose scores are worked on at once.
 BATCH_WORDS = 1 << 17
+#: New words that are scored at once.
+BATCH_NEW = 1 << 14
 SWITCH = 12.0
 CACHE_WORDS = 300_000
 #: A language uses a script if at least this share of its words are in it.
@@ -80,39 +82,51 @@ class Model:
         for (lang, _), n in counts.items():
             sums[lang] += n
         self.rare = np.array([-np.log((sums[x] + size)) for x in langs])
-        self.logs: dict[str, np.ndarray] = {}
-        for g in vocabulary:
-            self.logs[g] = np.log([counts.get((x, g), 0) + 1.0 for x in langs]) + self.rare
+        self.gram_at = {g: i for i, g in enumerate(sorted(vocabulary), 1)}
+        # Row 0 is for trigrams that no language has: they tell nothing about any.
+        self.logs = np.zeros((size, len(langs)))
+        for g, i in self.gram_at.items():
+            self.logs[i] = np.log([counts.get((x, g), 0) + 1.0 for x in langs]) + self.rare
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.table = np.zeros((1024, len(self.langs)))
 
-    def _learn(self, word: bytes) -> None:
-        text = word.decode("utf-8", "surrogatepass")
-        row = np.zeros(len(self.langs))
-        for g in grams(text):
-            # A trigram that no language has tells nothing about any.
-            row = row + self.logs.get(g, 0.0)
-        allowed = np.array([script(text) in self.scripts[x] for x in self.langs])
-        if allowed.any():
-            # Scores relative to the best; a language without the script is far behind.
-            row = np.where(allowed, row - row[allowed].max(), -50.0)
-        else:
-            row = row * 0.0
+    def _learn(self, words: list[bytes]) -> None:
+        """Scores of new words, all at once."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        lengths = np.array([len(t) for t in texts])
+        # Short words first, so that those with a trigram at a place are the last ones.
+        order = np.argsort(lengths, kind="stable")
+        texts, lengths = [texts[i] for i in order], lengths[order]
+        known = self.gram_at.get
+        at = np.array([known(g, 0) for t in texts for g in grams(t)], np.int64)
+        ends = np.cumsum(lengths)
+        rows = np.zeros((len(texts), len(self.langs)))
+        for j in range(int(lengths[-1])):
+            from_ = np.searchsorted(lengths, j, "right")
+            rows[from_:] += self.logs[at[(ends - lengths)[from_:] + j]]
+        firsts, own = np.unique([t[0] for t in texts], return_inverse=True)
+        allowed = np.array([[script(c) in self.scripts[x] for x in self.langs] for c in firsts.tolist()]).reshape(len(firsts), -1)[own]
+        some = allowed.any(axis=1)
+        # Scores relative to the best; a language without the script is far behind.
+        best = np.where(allowed, rows, -np.inf).max(axis=1, initial=-np.inf)
+        rows = np.where(allowed, rows - np.where(some, best, 0.0)[:, None], -50.0)
+        rows[~some] = 0.0
         n = len(self.place)
-        if n == len(self.table):
+        while n + len(rows) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = np.maximum(row, -50.0)
-        self.place[word] = n
+        self.table[n + order] = np.maximum(rows, -50.0)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Words x languages."""
         if len(self.place) > CACHE_WORDS:
             self._forget()
-        for w in set(words).difference(self.place):
-            self._learn(w)
+        new = list(set(words).difference(self.place))
+        for a in range(0, len(new), BATCH_NEW):
+            self._learn(new[a : a + BATCH_NEW])
         return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
     def path(self, words: list[bytes], switch: float = SWITCH) -> np.ndarray:

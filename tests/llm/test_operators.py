@@ -217,6 +217,24 @@ def test_viterbi_is_optimal():
     assert sure.any() and not sure.all()
 
 
+def test_new_words_are_scored_at_once(monkeypatch):
+    counts = {(x, g): n for x, t, n in (("aa", "abcde", 3), ("bb", "cdeab", 2)) for w in (t, t[::-1]) for g in language.grams(w)}
+    model = language.Model(["aa", "bb"], counts, {"aa": {"Latin"}, "bb": {"Latin", "Cyrillic"}})
+    words = [w.encode() for w in ("abcde", "edc", "a", "zzz", "\u0436\u0430", "\u6f22", *(f"cde{chr(97 + i)}b" for i in range(20)))]
+    calls, learn = [], language.Model._learn
+    monkeypatch.setattr(language.Model, "_learn", lambda self, new: calls.append(new) or learn(self, new))
+    scores = model.scores(words * 2)
+    assert len(calls) == 1
+    seen = {g for _, g in counts}
+    for word, row in zip(words, scores, strict=False):
+        text = word.decode()
+        sums = [sum(np.log(counts.get((x, g), 0) + 1) + model.rare[i] for g in language.grams(text) if g in seen) for i, x in enumerate(model.langs)]
+        allowed = [language.script(text) in model.scripts[x] for x in model.langs]
+        best = max((v for v, ok in zip(sums, allowed, strict=True) if ok), default=0.0)
+        wanted = [max(-50.0, v - best) if ok else -50.0 for v, ok in zip(sums, allowed, strict=True)] if any(allowed) else [0.0, 0.0]
+        assert np.allclose(row, wanted)
+
+
 def test_words_and_batches_of_languages(monkeypatch):
     """Words are those of the pattern, whatever the letters; texts in batches get what they get alone."""
     texts = ["Ärger über ÀÉÎ×÷ß x_1 2y", "plain ASCII, it's", "кот und 漢字 ² ª", "İx\u00a0y", "", None, "12 _"]
