@@ -13,10 +13,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,17 +142,31 @@ def _limit(n: Column, m: Column) -> Column:
     return F.floor(F.greatest(n, m) * (1 - SIMILARITY) + 1e-9).cast("int")
 
 
-def _only(words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts that ``pairs`` mention, and few others: a filter of bounded size keeps the rest out of the shuffle."""
-    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+def _among(named: DataFrame) -> Callable[[str], Column]:
+    """Whether a row is in ``named(row)``, as a column; a filter of bounded size, which may be wrong only where it says yes."""
     known = bloom.build(named, bloom.size_for(named.count()), twice=False)
-    shared = words.sparkSession.sparkContext.broadcast(known)
+    shared = named.sparkSession.sparkContext.broadcast(known)
 
     @F.arrow_udf("boolean")
-    def wanted(rows: pa.Array) -> pa.Array:
+    def among(rows: pa.Array) -> pa.Array:
         return pa.array(shared.value.has(rows.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
 
-    return words.where(wanted("row"))
+    return among
+
+
+def _only(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that ``pairs`` mention, and few others: the rest is kept out of the shuffle."""
+    named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    return words.where(_among(named)("row"))
+
+
+def _one_of_each(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(row, n, sketch) of the first row of every word sequence. Only rows that may be a later one are shuffled."""
+    repeated = firsts.where("copies > 1").select("seq", "first")
+    later = step(rows.select("seq", "row").join(repeated, "seq").where(F.col("row") != F.col("first")).select("row"))
+    marked = rows.select("row", "n", "sketch", _among(later)("row").alias("unsure"))
+    unsure = marked.where("unsure").drop("unsure").join(later, "row", "left_anti")
+    return marked.where(~F.col("unsure")).drop("unsure").unionByName(unsure)
 
 
 def near(x: bytes, y: bytes) -> bool:
@@ -323,8 +338,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     before = len(steps())
     rows = step(sketched(docs, key, text))
-    firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first")))
-    texts = step(rows.select("row", "n", "sketch").join(firsts.select(F.col("first").alias("row")), "row", "left_semi"))
+    firsts = step(rows.groupBy("seq").agg(F.min("row").alias("first"), F.count("*").alias("copies")))
+    texts = step(_one_of_each(rows, firsts))
     roots = near_components(texts, rows.select("row", "words")).select(F.col("node").alias("first"), "root")
     named = step(
         rows.select("id", "row", "seq").join(firsts, "seq").join(roots, "first", "left")

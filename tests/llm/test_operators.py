@@ -352,3 +352,17 @@ def test_pipeline(spark):
         assert name == "packing" or docs.columns == columns
     assert all(n > 0 for _, n in seen) and seen[0][1] >= seen[1][1] >= seen[2][1]
     assert docs.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_rows_that_are_no_copies_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, b"a" if i < 4 else bytes([i]), i, [i]) for i in range(60)], "row long, seq binary, n int, sketch array<long>")
+    firsts = near_dedup.step(rows.groupBy("seq").agg(F.min("row").alias("first"), F.count("*").alias("copies")))
+    texts = near_dedup._one_of_each(rows, firsts)
+    assert sorted(tuple(r) for r in texts.collect()) == [(i, i, [i]) for i in [0, *range(4, 60)]]
+    # The filter of the later rows tells all but few of the others.
+    later = near_dedup._among(spark.createDataFrame([(1,), (2,), (3,)], "row long"))
+    assert rows.where(later("row")).count() < 8
+    # No copies at all.
+    alone = rows.where("row > 3")
+    firsts = near_dedup.step(alone.groupBy("seq").agg(F.min("row").alias("first"), F.count("*").alias("copies")))
+    assert near_dedup._one_of_each(alone, firsts).count() == 56
