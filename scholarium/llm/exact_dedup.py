@@ -23,26 +23,37 @@ from scholarium.llm.common import WHITE, column, free_names, step
 PRINT = T.StructType([T.StructField("sha", T.BinaryType()), T.StructField("points", T.LongType())])
 
 
+def _shas(texts: pa.Array) -> pa.Array:
+    """SHA-256 of the texts without white space."""
+    drop = WHITE.encode()
+    return pa.array([hashlib.sha256((x or b"").translate(None, drop)).digest() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _points(texts: pa.Array) -> pa.Array:
+    """Code points of the texts as they are."""
+    return pc.utf8_length(pc.fill_null(texts, "")).cast(pa.int64())
+
+
 @F.arrow_udf(PRINT)
 def fingerprint(texts: pa.Array) -> pa.Array:
     """SHA-256 of the text without white space, and the code points of the text as it is."""
-    texts = pc.fill_null(texts, "")
-    drop = WHITE.encode()
-    sha = [hashlib.sha256(x.translate(None, drop)).digest() for x in texts.cast(pa.binary()).to_pylist()]
-    return pa.StructArray.from_arrays(
-        [pa.array(sha, pa.binary()), pc.utf8_length(texts).cast(pa.int64())], names=["sha", "points"]
-    )
+    return pa.StructArray.from_arrays([_shas(texts), _points(texts)], names=["sha", "points"])
 
 
 def _keys(shas: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join([x[:8] for x in shas.to_pylist()]), "<u8")
 
 
+def _repeated(rows: DataFrame, max_bits: int, shas):
+    """The broadcast filter of what several of ``rows`` may have in common; ``shas`` makes hashes of its only column."""
+    size = bloom.size_for(rows.count(), max_bits)
+    found = bloom.build(rows, size, twice=True, keys_of=lambda batch: _keys(shas(batch.column(0))))
+    return rows.sparkSession.sparkContext.broadcast(found)
+
+
 def maybe_repeated(hashes: DataFrame, max_bits: int = bloom.MAX_BITS):
     """A function from a hash column to a flag: false is certain, true may be wrong. ``hashes`` has the column sha."""
-    size = bloom.size_for(hashes.count(), max_bits)
-    found = bloom.build(hashes.select("sha"), size, twice=True, keys_of=lambda batch: _keys(batch.column(0)))
-    shared = hashes.sparkSession.sparkContext.broadcast(found)
+    shared = _repeated(hashes.select("sha"), max_bits, lambda shas: shas)
 
     @F.arrow_udf("boolean")
     def flag(shas: pa.Array) -> pa.Array:
@@ -88,11 +99,19 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", max
     Rows that cannot have a copy go straight to the output. Possible copies are reduced to the best row of
     each hash before and after the shuffle, so a text that a third of all rows share is combined in every task.
     """
-    f, maybe = free_names(docs, "f", "maybe")
-    tagged = docs.withColumn(f, fingerprint(column(docs, text)))
-    flag = maybe_repeated(tagged.select(F.col(f"{f}.sha").alias("sha")), max_bits)
-    tagged = tagged.withColumn(maybe, flag(F.col(f"{f}.sha")))
+    (f,) = free_names(docs, "f")
+    shared = _repeated(docs.select(column(docs, text).alias("text")), max_bits, _shas)
+
+    @F.arrow_udf(T.StructType([*PRINT, T.StructField("maybe", T.BooleanType())]))
+    def marked(texts: pa.Array) -> pa.Array:
+        shas = _shas(texts)
+        maybe = pa.array(shared.value.has(_keys(shas)), pa.bool_())
+        return pa.StructArray.from_arrays([shas, _points(texts), maybe], names=["sha", "points", "maybe"])
+
+    # Hash and flag in one call, which the filters below must not repeat: every call in a plan takes a worker of its own per task.
+    tagged = docs.withColumn(f, marked.asNondeterministic()(column(docs, text)))
+    maybe = F.col(f"{f}.maybe")
     row = F.struct(*[column(docs, c) for c in docs.columns])
     order = _order(F.col(f"{f}.points"), column(docs, key), F.xxhash64(*[column(docs, c) for c in docs.columns]).alias("h"))
-    best = tagged.where(F.col(maybe)).groupBy(F.col(f"{f}.sha")).agg(F.min_by(row, order).alias("row"))
-    return tagged.where(~F.col(maybe)).select(*docs.columns).unionByName(best.select("row.*"))
+    best = tagged.where(maybe).groupBy(F.col(f"{f}.sha")).agg(F.min_by(row, order).alias("row"))
+    return tagged.where(~maybe).select(*docs.columns).unionByName(best.select("row.*"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarium.llm.common import column, small, step
-from scholarium.llm.tokens import encode, id_type
+from scholarium.llm.tokens import encode, forget, id_type
 
 #: First level of the running sum over sources.
 SOURCE_BUCKETS = 1024
@@ -49,6 +49,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, key: str, tex
                  pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=schema.names,
             )
+        forget(tokenizer)
 
     return rows.mapInArrow(run, schema)
 

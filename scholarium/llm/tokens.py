@@ -63,6 +63,11 @@ def _memory(path: str) -> dict[str, bytes]:
     return {}
 
 
+def forget(path: str) -> None:
+    """Free the remembered words. Idle workers stay for a while, more of them than tasks run at once, and each would keep its own."""
+    _memory(path).clear()
+
+
 def _learn(path: str, new: list[str], known: dict[str, bytes]) -> None:
     """Encode new words, many to a call; the ids of each end with the first one that ends a word."""
     tok, ends, dtype = _tokenizer(path), _ends(path), id_type(path)

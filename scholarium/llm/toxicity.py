@@ -74,18 +74,27 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     return [r.feature for r in best.select("feature").collect()]
 
 
-def _fit(docs: list[tuple[int, int, list[list[int]]]], n_features: int, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, sentences without features, features of the other sentences), by Adam steps."""
-    docs = sorted(docs)
+def packed_sentences(sents: list[list[int]]) -> bytes:
+    """Features of sentences that have some, as big-endian numbers, 0 behind each sentence: bytes sort as the lists do."""
+    return np.array([x for s in sents for x in (*(f + 1 for f in s), 0)], ">u4").tobytes()
+
+
+def _fit(docs: list[tuple[int, int, bytes]], n_features: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias from (label, sentences without features, packed features of the other sentences), by Adam steps.
+
+    Numbers stay in arrays: as Python objects those of the sample would fill several hundred MB of a worker.
+    """
+    docs.sort()
     y = np.array([d[0] for d in docs], float)
     plain = np.array([d[1] for d in docs], float)
-    s_doc, f_sent, f_id = [], [], []
-    for i, (_, _, sents) in enumerate(docs):
-        for s in sents:
-            f_sent += [len(s_doc)] * len(s)
-            f_id += s
-            s_doc.append(i)
-    s_doc, f_sent, f_id = (np.array(x, np.int64) for x in (s_doc, f_sent, f_id))
+    codes = np.frombuffer(b"".join([d[2] for d in docs]), ">u4")
+    ends = codes == 0
+    sizes = np.array([len(d[2]) // 4 for d in docs])
+    docs.clear()
+    s_doc = np.repeat(np.arange(len(sizes)), sizes)[ends]
+    f_sent = np.cumsum(ends)[~ends]
+    f_id = codes[~ends].astype(np.int64) - 1
+    del codes, ends
     # Both labels weigh the same, so that 0.5 is a fair threshold where one of them is rare.
     share = y.mean()
     cost = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
@@ -152,14 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, key: str
             plain, kept = [], []
             for text_ in batch.column("text").to_pylist():
                 sents = [sorted({ids[f] for w in s for f in features(w) if f in ids}) for s in sentences(text_)]
-                kept.append([s for s in sents if s])
-                plain.append(len(sents) - len(kept[-1]))
+                some = [s for s in sents if s]
+                kept.append(packed_sentences(some))
+                plain.append(len(sents) - len(some))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array(plain, pa.int32()), pa.array(kept, pa.list_(pa.list_(pa.int32())))],
+                [batch.column("y"), pa.array(plain, pa.int32()), pa.array(kept, pa.binary())],
                 names=["y", "plain", "sents"],
             )
 
-    encoded = rows.mapInArrow(encode, "y int, plain int, sents array<array<int>>")
+    encoded = rows.mapInArrow(encode, "y int, plain int, sents binary")
     n = len(vocabulary)
 
     def fit(group: pa.Table) -> pa.Table:
