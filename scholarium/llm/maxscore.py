@@ -8,6 +8,8 @@ probing the other lists, largest bound first, as long as a candidate can still c
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,9 +19,12 @@ from scholarium.llm.common import column, step
 
 SHARD_ROWS = 2048
 QUERY_ROWS = 1024
-#: Components of a shard, and blocks of queries that meet a shard in one task.
+#: Components of a shard, blocks of queries that meet a shard in one task, and shards that a task reads one after the other.
 SHARD_CELLS = 1 << 20
 BLOCKS_AT_ONCE = 8
+STRIP_SHARDS = 64
+#: Tasks per core, where there are shards enough.
+TASKS_PER_CORE = 4
 
 
 class Shard:
@@ -34,14 +39,16 @@ class Shard:
         for j in range(self.weights.shape[1]):
             rows = np.flatnonzero(self.weights[:, j])
             self.postings.append((rows, self.weights[rows, j]))
+        # A dimension at a time, for lists that most rows are on and for probing.
+        self.columns = np.ascontiguousarray(self.weights.T)
         zero = np.zeros(self.weights.shape[1], np.int64)
         self.most = self.weights.max(axis=0, initial=0) if len(ids) else zero
         self.least = self.weights.min(axis=0, initial=0) if len(ids) else zero
         # Heads of the lists, sorted by weight: where high scores are likely.
         self.order = [rows[np.argsort(w, kind="stable")] for rows, w in self.postings]
 
-    def top(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without the row of number ``own``."""
+    def top(self, own: int, query: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id, without the row of number ``own``; scores below ``least`` may be left out."""
         n = len(self.ids)
         q = query[: len(self.most)]
         if len(q) < len(self.most):
@@ -54,23 +61,32 @@ class Shard:
         head = head[self.numbers[head] != own]
         scores = self.weights[head] @ q
         threshold = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
+        if least is not None and (threshold is None or threshold < least):
+            threshold = least
         # Terms in rising order of bound; a prefix that cannot reach the threshold alone is non-essential.
         reach = np.cumsum(bound[terms])
         split = 0 if threshold is None else int(np.searchsorted(reach, threshold, side="left"))
         partial = np.zeros(n, np.int64)
-        seen = np.zeros(n, bool) if split else np.ones(n, bool)
+        seen, all_seen = np.zeros(n, bool) if split else np.ones(n, bool), not split
         for j in terms[split:]:
             rows, w = self.postings[j]
-            if q[j]:
+            if not q[j]:
+                continue
+            # A list that most rows are on is added as a whole: the others have weight zero.
+            if 2 * len(rows) > n:
+                partial += q[j] * self.columns[j]
+            else:
                 partial[rows] += q[j] * w
+            if not all_seen:
                 seen[rows] = True
+                all_seen = bool(seen.all())
         live = np.flatnonzero(seen & (self.numbers != own))
         score = partial[live]
         for place in range(split - 1, -1, -1):
             keep = score + reach[place] >= threshold
             live, score = live[keep], score[keep]
             j = terms[place]
-            score = score + q[j] * self.weights[live, j]
+            score = score + q[j] * self.columns[j][live]
         if len(score) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             live, score = live[keep], score[keep]
@@ -140,32 +156,51 @@ def top_k(
     size = max(SHARD_ROWS // 16, min(SHARD_ROWS, SHARD_CELLS // max(1, width or 1)))
     shards, n_shards = _blocks(rows, n, size, "shard", scale)
     asked, n_blocks = _blocks(rows.where(asking), n_asking, min(QUERY_ROWS, size), "block", scale)
-    # Every block of queries meets every shard once. The key names both the shard and a few of the blocks, so a task
-    # has one shard at a time, reads its postings once for those blocks, and no key grows with the table.
-    groups = -(-n_blocks // BLOCKS_AT_ONCE)
-    met = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-    q = asked.select(
-        F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("cell").alias("q_cell"), F.col("weights").alias("q_weights"),
-        F.floor(F.col("block") / BLOCKS_AT_ONCE).alias("group"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")).alias("shard"),
-    )
-    pairs = met.join(q, ["shard", "group"]).sortWithinPartitions("shard")
+    # Every block of queries meets every shard once. A task holds a few blocks of queries and reads a strip of shards, one after
+    # the other: queries are copied once per strip and shards once per group of blocks. Nothing is joined, so that no copies
+    # are broadcast, and no task holds more than its blocks and one shard.
+    groups = max(1, -(-n_blocks // BLOCKS_AT_ONCE))
+    wanted = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    strips = max(-(-n_shards // STRIP_SHARDS), min(n_shards, -(-wanted // groups)))
+    tasks = strips * groups
+    strip, group = F.pmod(F.col("shard"), F.lit(strips)), F.floor(F.col("block") / BLOCKS_AT_ONCE)
+    asking_rows = asked.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)).cast("array<bigint>"))).select(
+        (F.col("strip") * groups + group).alias("task"), F.lit(0).alias("turn"), "rows", "ids", "cell", "weights"
+    )
+    shard_rows = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))).select(
+        (strip * groups + F.col("group")).alias("task"), F.lit(1).alias("turn"), "rows", "ids", "cell", "weights"
+    )
+    ordered = asking_rows.unionByName(shard_rows).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("task", "turn")
 
     def search(batches):
-        at, shard = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                if r["shard"] != at:
-                    row, ids, weights = _unpacked(r["rows"], r["ids"], r["cell"], r["weights"])
-                    at, shard = r["shard"], Shard(ids, weights, row)
-                q_row, q_ids, asked_ = _unpacked(r["q_rows"], r["q_ids"], r["q_cell"], r["q_weights"])
-                out = []
-                for own, id_, query in zip(q_row.tolist(), q_ids.tolist(), asked_, strict=True):
-                    out += [(own, id_, i, s) for s, i in shard.top(own, query, k)]
+        for _, part in groupby(_meetings(batches), key=lambda r: r[0]):
+            blocks, best = [], {}
+            for _, turn, block in part:
+                if not turn:
+                    blocks.append(block)
+                    continue
+                row, ids, weights = block
+                shard = Shard(ids, weights, row)
+                for q_row, _, asked_ in blocks:
+                    for own, query in zip(q_row.tolist(), asked_, strict=True):
+                        # What a shard has to beat is the last place that the shards before it have left.
+                        so_far = best.get(own, [])
+                        found = shard.top(own, query, k, so_far[-1][0] if len(so_far) == k else None)
+                        if found:
+                            best[own] = sorted(so_far + found, key=lambda x: (-x[0], x[1]))[:k]
+            for q_row, q_ids, _ in blocks:
+                out = [(own, id_, i, s) for own, id_ in zip(q_row.tolist(), q_ids.tolist(), strict=True) for s, i in best.get(own, [])]
                 table = np.array(out, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["row", "query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "row long, query_id long, vec_id long, score long")
+    found = ordered.mapInArrow(search, "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _meetings(batches):
+    """Rows of packed blocks, unpacked one at a time: (task, turn, block)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            yield r["task"], r["turn"], _unpacked(r["rows"], r["ids"], r["cell"], r["weights"])

@@ -83,6 +83,20 @@ def test_maxscore(spark, monkeypatch):
     assert maxscore.top_k(df.limit(0)).count() == 0
 
 
+def test_maxscore_strips(spark, monkeypatch):
+    # Tasks that read several shards, each with the last places of those before it; nothing is broadcast, which copies of queries once were.
+    for name, value in (("SHARD_ROWS", 64), ("QUERY_ROWS", 2), ("BLOCKS_AT_ONCE", 2), ("STRIP_SHARDS", 3), ("TASKS_PER_CORE", 0)):
+        monkeypatch.setattr(maxscore, name, value)
+    w = np.random.default_rng(3).integers(-3, 4, size=(300, 6))
+    found = maxscore.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w.astype(float))], "vec_id long, embedding array<double>"), scale=1.0)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    wanted = []
+    for q in range(0, 300, 50):
+        best = sorted((-int(w[q] @ w[i]), i) for i in range(300) if i != q)[:5]
+        wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in found.collect()) == wanted
+
+
 def test_mixing(docs):
     found = rows(mixing.mix(docs))
     sizes = collections.Counter()
