@@ -44,6 +44,8 @@ CORE_FIELDS = {
     "comments": "comments",
     "license": "license",
 }
+#: Few enough to be read by one task, and enough that a delivery stays within one batch of files.
+RECORDS_PER_FILE = 500_000
 XML_OPTIONS = {"rowTag": "record", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 
 
@@ -124,5 +126,9 @@ def version_rows(records: DataFrame) -> DataFrame:
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """Write nested records as XML, the inverse of the readers."""
-    df.write.format("xml").option("rowTag", "record").option("rootTag", "records").save(path)
+    """Write nested records as XML, the inverse of the readers.
+
+    Tags and indents are most of a record, so files are compressed. No task splits a file, hence none is very long.
+    """
+    out = df.write.format("xml").option("rowTag", "record").option("rootTag", "records")
+    out.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).save(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from scholarium.sources import records as rec
@@ -121,6 +123,25 @@ def test_papers_follow_their_versions(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
 
 
+def test_record_files_are_short_and_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rec, "RECORDS_PER_FILE", 2)
+    version = "struct('v1' AS _version, 'Mon, 6 Feb 2017 00:00:00 GMT' AS date, concat(id, 'kb') AS size, 'D' AS source_type)"
+    records = spark.range(5).coalesce(1).selectExpr(
+        "struct(concat('oai:arXiv.org:', id) AS identifier) AS header", f"struct(struct(concat('', id) AS id, array({version}) AS version) AS arXivRaw) AS metadata"
+    )
+    path, root = str(tmp_path / "records"), str(tmp_path / "root")
+    rec.write_records(records, path)
+    files = sorted(p for p in (tmp_path / "records").iterdir() if p.name.startswith("part-"))
+    assert [p.name.endswith(".xml.gz") for p in files] == [True] * 3
+    assert sorted(gzip.decompress(p.read_bytes()).count(b"<record>") for p in files) == [1, 2, 2]
+    wanted = [(str(i), 1, f"{i}kb") for i in range(5)]
+    found = rec.version_rows(rec.read_version_records(spark, path))
+    assert sorted(tuple(r) for r in found.select("paper_id", "version", "size").collect()) == wanted
+    ing.stream_version_records(spark, path, root, str(tmp_path / "check")).awaitTermination()
+    stored = spark.read.parquet(f"{root}/paper_versions")
+    assert sorted(tuple(r) for r in stored.select("paper_id", "version", "size").collect()) == wanted
+
+
 def test_snapshot_and_existence(spark, tmp_path):
     from scholarium.schemas import empty_table
 
